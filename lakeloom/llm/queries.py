@@ -17,9 +17,59 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup
+
+    return suffix_dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import decontaminate
+
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_dedup
+
+    return exact_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .sentencepiece_codec import digests
+
+    return digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+DECONTAMINATION_SQL = r"""
+WITH word AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
+iword AS (SELECT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark),
+d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) AS shingle FROM word),
+b AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) AS shingle FROM iword),
+size AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id),
+pair AS (SELECT d.doc_id, b.item_id, count(*) AS n_shared FROM d JOIN b USING (shingle) GROUP BY ALL)
+SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM pair JOIN size USING (item_id) WHERE n_shared / n_item >= 0.8
+""".replace("\\", "\")
+
+EXACT_SQL = """
+WITH norm AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM norm WINDOW same AS (PARTITION BY t)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup}
+    return {
+        "op1_substring_dedup": op1_substring_dedup,
+        "op4_suffix_dedup": op4_suffix_dedup,
+        "op7_decontamination": op7_decontamination,
+        "op8_exact_dedup": op8_exact_dedup,
+        "op9_sentencepiece": op9_sentencepiece,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_decontamination": DECONTAMINATION_SQL, "op8_exact_dedup": EXACT_SQL}
