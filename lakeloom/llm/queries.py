@@ -51,7 +51,7 @@ b AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), i ->
 size AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id),
 pair AS (SELECT d.doc_id, b.item_id, count(*) AS n_shared FROM d JOIN b USING (shingle) GROUP BY ALL)
 SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM pair JOIN size USING (item_id) WHERE n_shared / n_item >= 0.8
-""".replace("\\", "\")
+"""
 
 EXACT_SQL = """
 WITH norm AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
