@@ -46,8 +46,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 DECONTAMINATION_SQL = r"""
 WITH word AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
 iword AS (SELECT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark),
-d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) AS shingle FROM word),
-b AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) AS shingle FROM iword),
+d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle FROM word),
+b AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle FROM iword),
 size AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id),
 pair AS (SELECT d.doc_id, b.item_id, count(*) AS n_shared FROM d JOIN b USING (shingle) GROUP BY ALL)
 SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM pair JOIN size USING (item_id) WHERE n_shared / n_item >= 0.8
