@@ -17,6 +17,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash_dedup import simhash_dedup
+
+    return simhash_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import suffix_dedup
 
@@ -64,6 +70,7 @@ FROM norm WINDOW same AS (PARTITION BY t)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_simhash_dedup": op2_simhash_dedup,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op7_decontamination": op7_decontamination,
         "op8_exact_dedup": op8_exact_dedup,
