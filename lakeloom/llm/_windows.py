@@ -96,6 +96,14 @@ def by_document(*parts: DataFrame) -> DataFrame:
     return every.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
 
 
+def joined_lists(*lists: DataFrame) -> DataFrame:
+    """(doc_id, spans) tables as one, a row for each document."""
+    every = lists[0]
+    for p in lists[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
 def covered(n: int, spans: np.ndarray) -> np.ndarray:
     """Mask of n units; spans is (k, 2)."""
     step = np.zeros(n + 1, dtype=np.int32)

@@ -41,6 +41,12 @@ class FingerprintIndex:
         self.spark, self.window, self.gram, self.fanout = spark, window, gram, fanout
         self.stage = Stage(spark, "substring-dedup")
         self.runs: list[DataFrame] = []
+        self.passing: list[DataFrame] = []
+
+    def close(self) -> None:
+        """Frees the runs; the spans found stay."""
+        self.stage.drop(*self.runs)
+        self.runs = []
 
     def _history(self) -> DataFrame | None:
         return reduce(DataFrame.unionByName, self.runs) if self.runs else None
@@ -60,12 +66,13 @@ class FingerprintIndex:
         if old is not None:
             past = old.select("fp", "sup", F.struct("doc_id", "pos").alias("past")).groupBy("fp", "sup").agg(F.min("past").alias("past"))
             known = known.join(past.hint("merge"), ["fp", "sup"], "left").withColumn("copies", F.when(F.col("past").isNotNull(), 2).otherwise(F.col("copies"))).withColumn("head", F.coalesce("past", "head")).drop("past")
-        repeated = known.filter("copies > 1").select("fp", "sup", "head")
+        repeated = self.stage.keep(known.filter("copies > 1").select("fp", "sup", "head"))
         later = firsts.join(repeated, ["fp", "sup"]).filter((F.col("doc_id") != F.col("head.doc_id")) | (F.col("pos") != F.col("head.pos")))
-        parts = [W.spans(rows.filter("copies = 0"), self.window), W.spans(later, self.window)]
-        parts.append(self._verify(run, old, corpus))
-        found = self.stage.keep(W.by_document(*parts))
-        self.stage.drop(rows)
+        settled = self.stage.keep(W.by_document(W.spans(rows.filter("copies = 0"), self.window), W.spans(later, self.window)))
+        self.stage.drop(rows, repeated)
+        found = self.stage.keep(W.joined_lists(settled, W.by_document(self._verify(run, old, corpus))))
+        self.stage.drop(settled, *self.passing)
+        self.passing = []
         self.runs.append(run)
         if len(self.runs) >= self.fanout:
             self._compact()
@@ -80,6 +87,7 @@ class FingerprintIndex:
         shared = W.mixed(both)
         if old is not None:  # an fp that the batch lacks was settled before
             shared = shared.join(run.select("fp").hint("merge"), "fp", "left_semi")
+        shared = self.stage.keep(shared)
         stretches = both.join(shared, "fp").groupBy("doc_id").agg(F.collect_list(F.struct("fp", "first", "last", "pos", "new")).alias("at"))
         held = corpus.select(F.coalesce("doc_id", F.lit(_NULL)).alias("doc_id"), "text").join(stretches, "doc_id")
         schema = "fp long, off int, wh long, doc_id long, start int, new boolean"
@@ -107,6 +115,7 @@ class FingerprintIndex:
                     )
 
         each = self.stage.keep(held.mapInArrow(windows, schema))
+        self.passing += [shared, each]
         first = each.groupBy("fp", "off", "wh").agg(F.min(F.struct("doc_id", "start")).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
         late = each.filter("new").join(first, ["fp", "off", "wh"]).filter((F.col("doc_id") != F.col("head.doc_id")) | (F.col("start") != F.col("head.start")))
         return W.spans(late, window, "start", "start")
@@ -166,4 +175,5 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = 2, gra
         so_far = docs if upper is None else docs.filter(F.col("doc_id").isNull() | (F.col("doc_id") <= upper))
         found.append(index.add(batch, so_far))
         lower = upper
+    index.close()
     return kept_words(docs, reduce(DataFrame.unionByName, found), window)
