@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 NAMES = tuple("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
@@ -14,6 +17,14 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def share_code(spark: SparkSession) -> None:
+    """Lets Python workers import this library where it was not installed but put on the driver's path."""
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Multi-line JSON documents with a stated schema (no inference pass)."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
