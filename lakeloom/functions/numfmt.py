@@ -107,3 +107,17 @@ def format_number(x: Column, spec: str) -> Column:
     if s.align == "=":
         return F.concat(before, fill(gap), body, after)
     return F.concat(fill(gap), out)
+
+
+def _exponent(x: Column) -> Column:
+    return F.floor(F.log10(F.abs(x)) + 1e-12)
+
+
+def precision_fixed(step: Column) -> Column:
+    """Fraction digits that tell values a step apart."""
+    return F.greatest(F.lit(0), -_exponent(step))
+
+
+def precision_round(step: Column, most: Column) -> Column:
+    """Significant digits for values up to `most`, a step apart."""
+    return F.greatest(F.lit(0), _exponent(F.abs(most) - F.abs(step)) - _exponent(step)) + 1
