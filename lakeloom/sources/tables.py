@@ -33,7 +33,7 @@ def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def text_files(spark: SparkSession, glob: str) -> DataFrame:
     """Whole text files as (path, text, modified); bytes that are not UTF-8 are replaced."""
     files = spark.read.format("binaryFile").load(glob)
-    return files.selectExpr("path", "decode(content, 'UTF-8') as text", "modificationTime as modified")
+    return files.selectExpr("path", "make_valid_utf8(cast(content as string)) as text", "modificationTime as modified")
 
 
 def post_files(spark: SparkSession, root: str) -> DataFrame:
