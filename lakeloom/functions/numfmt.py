@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The specifier grammar and the SI prefixes.
 _SPEC = re.compile(r"^(?:(.)?([<>=^]))?([+\-( ])?([$#])?(0)?(\d+)?(,)?(?:\.(\d+))?(~)?([a-z%])?$", re.IGNORECASE)
 PREFIXES = "y z a f p n µ m  k M G T P E Z Y".split(" ")
 

@@ -28,6 +28,7 @@ def html_attribute(text: Column, tag: str, key: str, value: str, attribute: str)
     return falsy_to_null(F.trim(F.regexp_extract(text, f"(?is){pattern}", 3)))
 
 
+#: The entities that are written and read.
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&amp;", "&"))
 
 

@@ -147,10 +147,15 @@ DIFFS = """WITH a AS (SELECT l_returnflag, l_linestatus, l_linenumber FROM linei
 SELECT side, l_returnflag, l_linestatus, l_linenumber, count(*) AS n FROM (SELECT *, 'a' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'b' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) GROUP BY ALL"""
 
 
+#: The attribute allow-list and the URLs that count as safe.
+_ALLOWED = [("*", "^(class|dir|id|lang|role|aria-.*)$"), ("a", "^(href|target)$"), ("img", "^(src|alt)$")]
+_SAFE_URL = r"^(?:(?:https?|mailto|ftp|tel|file):|[^&:/?#]*(?:[/?#]|$))"
+
+
 def attr_allowlist(spark, d):
     rows = load(spark, d, "events").select("event_id", F.element_at(F.array(*map(F.lit, ("a", "img", "p", "iframe"))), (F.col("event_id") % 4 + 1).cast("int")).alias("tag"), F.element_at(F.array(*map(F.lit, ("href", "aria-label", "onclick", "src", "class"))), (F.col("user_id") % 5 + 1).cast("int")).alias("attr"), F.when(F.col("event_id") % 3 == 0, "javascript:x()").otherwise("/path").alias("value"))
-    allow = spark.createDataFrame([("*", "^(class|dir|id|lang|role|aria-.*)$"), ("a", "^(href|target)$"), ("img", "^(src|alt)$")], "tag string, pattern string")
-    return lookup.allowed(rows, allow, r"^(?:(?:https?|mailto|ftp|tel|file):|[^&:/?#]*(?:[/?#]|$))").select("event_id", "tag", "attr", "value")
+    allow = spark.createDataFrame(_ALLOWED, "tag string, pattern string")
+    return lookup.allowed(rows, allow, _SAFE_URL).select("event_id", "tag", "attr", "value")
 
 
 ALLOW = r"""WITH r AS (SELECT event_id, ['a', 'img', 'p', 'iframe'][event_id % 4 + 1] AS tag, ['href', 'aria-label', 'onclick', 'src', 'class'][user_id % 5 + 1] AS attr, CASE WHEN event_id % 3 = 0 THEN 'javascript:x()' ELSE '/path' END AS value FROM events)
