@@ -5,7 +5,7 @@ stands for one stretch of windows (see `_windows`): its anchor fingerprint `fp`,
 of the stretch, where it starts first, and how often it occurs. A batch of new documents makes
 one sorted run; the run is merge-joined with the older ones; stretches that share `fp` but not
 `sup` are verified window by window from the texts with a second, independent 64-bit hash; then
-the runs are compacted into one when there are `fanout` of them.
+when there are `fanout` runs, they are compacted into one before the next batch.
 
 Batches come in the order of doc_id, so all that is in the index starts earlier.
 
@@ -37,7 +37,7 @@ _NULL = np.iinfo(np.int64).min
 class FingerprintIndex:
     """Sorted runs of window fingerprints; `add` merges a batch and returns the spans it repeats."""
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, fanout: int = 4):
+    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, fanout: int = 2):
         self.spark, self.window, self.gram, self.fanout = spark, window, gram, fanout
         self.stage = Stage(spark, "substring-dedup")
         self.runs: list[DataFrame] = []
@@ -57,6 +57,8 @@ class FingerprintIndex:
         batch: doc_id, text of the new documents; corpus: of all documents so far, batch
         included. Returns (doc_id, span) of the batch's words that an earlier window covers.
         """
+        if len(self.runs) >= self.fanout:
+            self._compact()
         rows = self.stage.keep(W.anchor_rows(batch, "word", self.window, self.gram))
         firsts = rows.filter("copies > 0")
         run = self.stage.keep(W.heads(firsts).sortWithinPartitions("fp", "sup"))
@@ -74,8 +76,6 @@ class FingerprintIndex:
         self.stage.drop(settled, *self.passing)
         self.passing = []
         self.runs.append(run)
-        if len(self.runs) >= self.fanout:
-            self._compact()
         return found
 
     def _verify(self, run: DataFrame, old: DataFrame | None, corpus: DataFrame) -> DataFrame:
@@ -115,8 +115,8 @@ class FingerprintIndex:
                     )
 
         each = self.stage.keep(held.mapInArrow(windows, schema))
-        self.passing += [shared, each]
-        first = each.groupBy("fp", "off", "wh").agg(F.min(F.struct("doc_id", "start")).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        first = self.stage.keep(each.groupBy("fp", "off", "wh").agg(F.min(F.struct("doc_id", "start")).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+        self.passing += [shared, each, first]
         late = each.filter("new").join(first, ["fp", "off", "wh"]).filter((F.col("doc_id") != F.col("head.doc_id")) | (F.col("start") != F.col("head.start")))
         return W.spans(late, window, "start", "start")
 
@@ -152,7 +152,7 @@ def kept_words(docs: DataFrame, spans: DataFrame, window: int = WINDOW) -> DataF
     return joined.mapInArrow(run, schema)
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = 2, gram: int = GRAM) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = 3, gram: int = GRAM, fanout: int = 2) -> DataFrame:
     """Removes every word that an earlier-starting equal window covers, over the whole table.
 
     The documents go into the index in `batches` ranges of doc_id. Returns doc_id, n_words,
@@ -160,7 +160,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = 2, gra
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    index = FingerprintIndex(spark, window, min(gram, window))
+    index = FingerprintIndex(spark, window, min(gram, window), fanout)
     cuts = []
     if batches > 1:
         share = [i / batches for i in range(1, batches)]
