@@ -56,5 +56,9 @@ def exact_dedup(docs: DataFrame, chunk_id: Callable[[Column], Column] = sha256_i
         chunk_id = lambda chunk: chunk.cast("binary")
     stage = Stage(docs.sparkSession, "exact-dedup")
     recipes = stage.keep(chunked(docs).select("doc_id", F.sha2("norm", 256).alias("text_sha256"), F.transform("chunks", chunk_id).alias("recipe")))
-    groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return recipes.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    # written first: a join of two plain tables lets Spark split a recipe that a third of all rows share
+    groups = stage.keep(recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1"))
+    joined = recipes.join(groups, "recipe", "left")
+    alone = F.col("group_size").isNull()
+    keep_id = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
+    return joined.select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256")

@@ -218,11 +218,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     twice = run.filter("copies > 1").select("fp", "sup")
     parts = [W.spans(rows.filter("copies <> 1"), window), W.spans(rows.filter("copies = 1").join(twice, ["fp", "sup"]), window)]
     shared = run.groupBy("fp").agg(F.min("sup").alias("lo"), F.max("sup").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("fp", (F.col("n") > hot).alias("hot"))
+    shared = stage.keep(shared)  # a join of plain tables can split a gram that very many suffixes share
     at = run.join(shared, "fp").groupBy("doc_id").agg(F.collect_list(F.struct("fp", "pos", "first", "last", "copies", "hot")).alias("at"))
     held = docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("doc_id"), "text").join(at, "doc_id")
     parts.append(merged_repeats(shard_suffixes(held, window), window))
     found = stage.keep(W.by_document(*parts))
-    stage.drop(rows, run)
+    stage.drop(rows, run, shared)
     return found
 
 
