@@ -3,11 +3,12 @@
 Parser events (standard library, streaming) give blocks, the "lines" of a page: text between
 block-level tags, with the number of tags seen in and before it. Blocks inside menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and comments are set aside by element
-and by class, id or role words. Of the others, each block's ratio of characters to tags is
+and by class, id or role words; words do not count on an element that holds all articles (or, on a
+page without, nearly all text), nor after "with", "no" and the like. Of the others, each block's ratio of characters to tags is
 smoothed over the page by a Gaussian and split by a two-means threshold into content and rest.
-The content region is the innermost element that holds nearly all characters of the blocks over
-the threshold; all its blocks that are not set aside are the text, so short paragraphs of the
-article stay.
+The content region is the innermost element that holds all blocks over the threshold, or the
+article or main element around it; all its blocks that are not set aside are the text, so short
+paragraphs of the article stay.
 
 Defined cases: null or empty html gives an empty text; markup that is cut off or not closed is
 read as far as it goes; a page without block tags is one block; pages of any length are read
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Share of the characters over the threshold that the region must hold.
+#: Share of a page's characters that an element must hold for its class words not to count, where no article is marked.
 HOLD = 0.9
 SIGMA = 2.0
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,6 +35,9 @@ WORDS = frozenset(
     "ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 ROLES = frozenset("banner navigation complementary contentinfo search form dialog alert menu menubar".split())
+#: Words that turn the next one into a remark on layout.
+REMARKS = frozenset("with without no non not has have hide".split())
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -44,6 +48,8 @@ class _Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.open: list[tuple[str, int, bool]] = []  # name, element number, set aside
+        self.names: dict[int, str] = {}
+        self.worded: set[int] = set()  # elements that words would set aside
         self.made = self.tags = 0
         self.parts: list[str] = []
 
@@ -61,16 +67,31 @@ class _Blocks(HTMLParser):
             return not any(name in ("article", "main") for name, _, _ in self.open)
         if tag in ("html", "body", "article", "main"):
             return False
+        return any(key == "hidden" or (key == "aria-hidden" and value == "true") for key, value in attrs)
+
+    def _worded(self, tag: str, attrs) -> bool:
+        if tag in ("html", "body", "article", "main", "header"):
+            return False
         for key, value in attrs:
-            if key == "hidden" or (key == "aria-hidden" and value == "true"):
-                return True
             if value and key == "role" and value.lower() in ROLES:
                 return True
-            if value and key in ("class", "id") and WORDS.intersection(w.lower() for w in _SPLIT.split(value)):
-                return True
+            if value and key in ("class", "id"):
+                for name in value.split():
+                    words = [w.lower() for w in _SPLIT.split(name) if w]
+                    if any(w in WORDS and before not in REMARKS and (w, after) != ("related", "work") for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False)):
+                        return True
         return False
 
+    def _close_head(self, tag: str) -> None:
+        """The body, or what cannot stand in a head, ends an open head."""
+        for i, (name, _, _) in enumerate(self.open):
+            if name == "head" and (tag == "body" or (i == len(self.open) - 1 and tag not in HEAD)):
+                self._flush()
+                del self.open[i:]
+                return
+
     def handle_starttag(self, tag, attrs):
+        self._close_head(tag)
         if tag not in INLINE:
             self._flush()
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or tag in ("div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6"):
@@ -81,6 +102,9 @@ class _Blocks(HTMLParser):
         if tag not in VOID:
             self.made += 1
             self.open.append((tag, self.made, self._aside(tag, attrs)))
+            self.names[self.made] = tag
+            if self._worded(tag, attrs):
+                self.worded.add(self.made)
 
     def _close_paragraph(self, tag: str) -> None:
         """A block ends an open paragraph, with the inline elements left open in it."""
@@ -146,20 +170,32 @@ def main_text(html: str | None) -> str:
     parser = _Blocks()
     parser.feed(html)
     blocks = [b for b in parser.finish() if not b[3]]
+    aside = parser.worded - _holders(blocks, parser)
+    blocks = [b for b in blocks if not aside.intersection(b[2])]
     if not blocks:
         return ""
     ratio = smooth(np.array([len(t) / max(1, tags) for t, tags, _, _ in blocks]))
     chosen = ratio >= threshold(ratio)
-    held: dict[int, int] = {}
-    for (text, _, path, _), c in zip(blocks, chosen.tolist(), strict=True):
-        if c:
-            for n in path:
-                held[n] = held.get(n, 0) + len(text)
-    total = sum(len(b[0]) for b, c in zip(blocks, chosen.tolist(), strict=True) if c)
-    region = max((n for n, k in held.items() if k >= HOLD * total and _is_wide(n, blocks)), default=None)
+    paths = [path for (_, _, path, _), c in zip(blocks, chosen.tolist(), strict=True) if c]
+    around = set(paths[0]).intersection(*paths)
+    article = max((n for n in around if parser.names[n] in ("article", "main")), default=None)
+    region = article or max((n for n in around if _is_wide(n, blocks)), default=None)
     return "\n".join(text for text, _, path, _ in blocks if region is None or region in path)
 
 
+def _holders(blocks, parser: _Blocks) -> set[int]:
+    """Elements with all blocks of articles in them; where none is marked, with nearly all characters."""
+    marked = [path for _, _, path, _ in blocks if any(parser.names[n] in ("article", "main") for n in path)]
+    if marked:
+        return set(marked[0]).intersection(*marked)
+    held: dict[int, int] = {}
+    for text, _, path, _ in blocks:
+        for n in path:
+            held[n] = held.get(n, 0) + len(text)
+    total = sum(len(b[0]) for b in blocks)
+    return {n for n, k in held.items() if k >= HOLD * total and _is_wide(n, blocks)}
+
+
 def _is_wide(element: int, blocks) -> bool:
     """Whether an element holds more than one block, or the only one there is."""
     return sum(element in path for _, _, path, _ in blocks) > 1 or len(blocks) == 1

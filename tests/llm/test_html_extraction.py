@@ -46,3 +46,15 @@ def test_table_matches_a_plain_reading(spark):
     odd = spark.createDataFrame([(1, "u", None, "x"), (1, None, "", "x"), (None, "u", "<p>y" * 20_000, "x")], "page_id long, url string, html string, text string")
     assert sorted(r.n_chars for r in extract(odd).collect()) == [0, 0, 39_999]
     assert extract(odd.limit(0)).count() == 0
+
+
+def test_whole_article():
+    long = "<p>" + "Long text of the page with many words. " * 6 + "</p>"
+    lead = main_text(f"<article><h1>Title</h1><p>lead</p><div class=body>{long * 20}</div></article>").split("\n")
+    assert lead[:2] == ["Title", "lead"] and len(lead) == 22
+    links = "<p><a href=x>one</a> <a href=y>two</a> <a href=z>three</a></p>"
+    assert len(main_text(f"<body><article><section>{long * 9}</section><section>{links * 12}</section></article></body>").split("\n")) == 21
+    for wrap in ("<div id=content class='with-sidebar'>", "<div class='no-comments'>", "<div class='sidebar'>"):
+        assert len(main_text(f"<body>{wrap}<article>{long * 3}</article></div></body>").split("\n")) == 3
+    assert len(main_text(f"<article>{long * 3}<section id='related-work'>{long}</section><div class=related>{long}</div></article>").split("\n")) == 4
+    assert len(main_text(f"<head><title>T</title><body>{long * 3}").split("\n")) == 3
