@@ -1,11 +1,12 @@
-"""Removal of repeated byte strings, by merging shards' sparse Burrows-Wheeler orders.
+"""Removal of repeated byte strings, by sorting suffixes at sparse anchors.
 
 All strings of `window` bytes that also start elsewhere are removed. Suffixes are kept at
 winnowed anchors only (see `_windows`): equal strings have their anchors at equal offsets, so
 two suffixes need comparing only if their anchors' 32-byte grams agree. Stretches that repeat
 as a whole are settled by their two hashes. For the rest, each shard (a map batch) sends its
 anchor suffixes in suffix order, each with the bytes after and before it, the latter being what
-a Burrows-Wheeler transform keeps. Shards are merged without sorting the suffixes again: the
+a Burrows-Wheeler transform keeps. The suffixes of each group are then radix-sorted by their own
+bytes; the shards' order only settles ties, and no transform is merged: the
 interleave starts as shard order inside each group of equal grams, and step h refines it by the
 h-th symbol, stably, inside the blocks that are still together. The step at which neighbours
 part is their common prefix. The same merge over the bytes before the anchors gives the common
