@@ -1,18 +1,23 @@
-"""Numpy kernels on Arrow text batches: prefix hashes, word bounds, and winnowed window anchors.
+"""Numpy kernels on Arrow text batches: word bounds, word hashes, digests, and winnowed window anchors.
 
-All hashes are polynomial over 64-bit words (mod 2**64, odd base, random byte table), so the
-hash of any slice comes from two prefix values. Two independent families give 128 bits where
-equality must be trusted.
+Word hashes are chained over eight bytes at a time. The hashes of grams are polynomial over these
+(mod 2**64, odd base), so the hash of any slice comes from two prefix values; they choose anchors
+and group rows, but are never taken for equality of texts. Where that counts, 128-bit BLAKE2b
+digests of the very bytes are compared.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
 _MASK = (1 << 64) - 1
+#: Longer words are hashed one by one.
+LONG = 64
 #: Text is worked on in pieces of about this many bytes, so that scratch arrays stay small.
 PIECE = 1 << 20
 
@@ -60,7 +65,7 @@ class Family:
         return mix64((prefix[stop] - prefix[start]) * down[start] + (stop - start).astype(U64))
 
 
-FIRST, SECOND = Family(1), Family(2)
+FIRST = Family(1)
 
 
 def pieces(texts: pa.Array, most: int = PIECE):
@@ -101,6 +106,45 @@ def word_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, stops, np.searchsorted(starts, offsets)
 
 
+def word_hashes(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, the same wherever the word stands."""
+    size = stops - starts
+    eight = np.lib.stride_tricks.sliding_window_view(np.append(buf, np.zeros(8, np.uint8)), 8)
+    out = mix64(size.astype(U64) + U64(0x9E3779B97F4A7C15))
+    rows = np.flatnonzero(size <= LONG)
+    for r in range(0, LONG, 8):
+        rows = rows[size[rows] > r]
+        if not len(rows):
+            break
+        x = np.ascontiguousarray(eight[starts[rows] + r]).view(U64).ravel()
+        x &= U64(_MASK) >> (U64(8) * np.maximum(8 - (size[rows] - r), 0).astype(U64))  # bytes of the word only
+        out[rows] = mix64(out[rows] ^ x)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(blake2b(buf[starts[i] : stops[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def single_spaced(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words one space apart, as bytes, and where each starts and stops there."""
+    size = stops - starts
+    new = np.cumsum(size + 1) - (size + 1)
+    out = np.full(int((size + 1).sum()), 32, dtype=np.uint8)
+    solid = np.zeros(len(buf) + 1, dtype=np.int8)
+    solid[starts] += 1
+    solid[stops] -= 1
+    to = np.ones(len(out), dtype=bool)
+    to[new + size] = False
+    out[to] = buf[np.cumsum(solid[:-1]) > 0]
+    return out.tobytes(), new, new + size
+
+
+def digests(data: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit BLAKE2b of data[start:stop], as two arrays of longs."""
+    raw = b"".join(blake2b(data[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), stops.tolist(), strict=True))
+    pair = np.frombuffer(raw, dtype=np.int64).reshape(-1, 2)
+    return pair[:, 0], pair[:, 1]
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of x[i:i + w] for each i, in O(n) by block prefixes and suffixes."""
     n = len(x) - w + 1
@@ -118,14 +162,13 @@ def window_anchors(units: np.ndarray, bounds: np.ndarray, window: int, gram: int
 
     Each window is represented by its leftmost minimal `gram`-unit hash, which depends on the
     window's content only: equal windows have their anchors at equal offsets. Neighbouring
-    windows with one anchor form a stretch. Returns (row, anchor, first, last, fp, sup): the
-    window starts `first..last` (inclusive) share the anchor; fp hashes the gram, sup hashes
-    the whole stretch units[first : last + window] with its offset from the anchor.
+    windows with one anchor form a stretch. Returns (row, anchor, first, last, fp): the window
+    starts `first..last` (inclusive) share the anchor; fp hashes the gram.
     """
     n = len(units)
     none = np.zeros(0, dtype=np.int64)
     if n < window:
-        return none, none, none, none, none.astype(U64), none.astype(U64)
+        return none, none, none, none, none.astype(U64)
     p1 = FIRST.prefix(units)
     at = np.arange(n - gram + 1)
     grams = FIRST.slices(p1, at, at + gram)
@@ -135,7 +178,7 @@ def window_anchors(units: np.ndarray, bounds: np.ndarray, window: int, gram: int
     size = np.diff(bounds)
     rows = np.flatnonzero(size >= window)
     if not len(rows):
-        return none, none, none, none, none.astype(U64), none.astype(U64)
+        return none, none, none, none, none.astype(U64)
     ok = np.zeros(n + 1, dtype=np.int8)
     ok[bounds[rows]] += 1
     ok[bounds[rows + 1] - window + 1] -= 1
@@ -146,18 +189,14 @@ def window_anchors(units: np.ndarray, bounds: np.ndarray, window: int, gram: int
     end = np.concatenate([cut, [len(starts)]]) - 1
     a, first, last = anchor[begin], starts[begin], starts[end]
     row = np.searchsorted(bounds, a, side="right") - 1
-    p2 = SECOND.prefix(units)
-    sup = SECOND.slices(p2, first, last + window)
-    sup = mix64(sup + ((a - first).astype(U64) << U64(32)) + (last - first).astype(U64))
-    return row, a, first, last, mix64(grams[a]), sup
+    return row, a, first, last, mix64(grams[a])
 
 
 def word_units(buf: np.ndarray, offsets: np.ndarray):
     """Word hashes as units, their byte starts and stops, and row bounds in words."""
     starts, stops, bounds = word_bounds(buf, offsets)
-    prefix = FIRST.prefix(FIRST.table[buf])
-    return FIRST.slices(prefix, starts, stops), starts, stops, bounds
+    return word_hashes(buf, starts, stops), starts, stops, bounds
 
 
 def byte_units(buf: np.ndarray) -> np.ndarray:
-    return SECOND.table[buf]
+    return FIRST.table[buf]

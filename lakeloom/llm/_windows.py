@@ -2,7 +2,8 @@
 
 A window is `window` consecutive units (words or bytes) of one document. `anchor_rows` maps
 each document to its stretches (see `_kernel.window_anchors`): two equal windows lie in
-stretches with equal `fp`, at equal offsets from the anchor. So only stretches, about one
+stretches with equal `fp`, at equal offsets from the anchor; stretches are the same if their
+words (bytes) are, by 128-bit digests of these, `sup` and `proof`. So only stretches, about one
 for each eighth (words) or each 185th (bytes) unit, are shuffled; within a map batch only the
 first stretch of equal content is sent, so a passage that a third of all documents share
 sends one row for each map batch.
@@ -17,16 +18,21 @@ from pyspark.sql import functions as F
 
 from . import _kernel as K
 
-ANCHOR_SCHEMA = "fp long, sup long, doc_id long, pos int, first int, last int, copies int"
+SAME = ["fp", "sup", "proof"]
+ANCHOR_SCHEMA = "fp long, sup long, proof long, doc_id long, pos int, first int, last int, copies int"
 SPAN_SCHEMA = "doc_id long, spans array<int>"
-_ARROW = pa.schema([("fp", pa.int64()), ("sup", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("copies", pa.int32())])
+_ARROW = pa.schema([("fp", pa.int64()), ("sup", pa.int64()), ("proof", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("copies", pa.int32())])
 
 
-def units_of(kind: str, buf: np.ndarray, offsets: np.ndarray):
+def _stretches(kind: str, buf: np.ndarray, offsets: np.ndarray, window: int, gram: int):
+    """Of a piece: row, anchor, first and last window start (in units), fp, digest (two parts), and row bounds in units."""
     if kind == "word":
-        units, _, _, bounds = K.word_units(buf, offsets)
-        return units, bounds
-    return K.byte_units(buf), offsets
+        units, starts, stops, bounds = K.word_units(buf, offsets)
+        row, a, first, last, fp = K.window_anchors(units, bounds, window, gram)
+        data, starts, stops = K.single_spaced(buf, starts, stops)
+        return row, a, first, last, fp, *K.digests(data, starts[first], stops[last + window - 1]), bounds
+    row, a, first, last, fp = K.window_anchors(K.byte_units(buf), offsets, window, gram)
+    return row, a, first, last, fp, *K.digests(buf.tobytes(), first, last + window), offsets
 
 
 def anchor_rows(docs: DataFrame, kind: str, window: int, gram: int) -> DataFrame:
@@ -41,19 +47,18 @@ def anchor_rows(docs: DataFrame, kind: str, window: int, gram: int) -> DataFrame
             ids = np.asarray(batch.column(0).cast(pa.int64()).fill_null(np.iinfo(np.int64).min))
             got = []
             for r0, _, buf, offsets in K.pieces(batch.column(1)):
-                units, bounds = units_of(kind, buf, offsets)
-                row, a, first, last, fp, sup = K.window_anchors(units, bounds, window, gram)
+                row, a, first, last, fp, sup, proof, bounds = _stretches(kind, buf, offsets, window, gram)
                 base = bounds[row]
-                got.append((fp, sup, ids[r0 + row], a - base, first - base, last - base))
+                got.append((fp, sup, proof, ids[r0 + row], a - base, first - base, last - base))
             if not got:
                 continue
-            fp, sup, doc, pos, first, last = (np.concatenate(x) for x in zip(*got, strict=True))
-            order = np.lexsort((pos, doc, sup, fp))
-            fp, sup, doc, pos, first, last = (x[order] for x in (fp, sup, doc, pos, first, last))
+            fp, sup, proof, doc, pos, first, last = (np.concatenate(x) for x in zip(*got, strict=True))
+            order = np.lexsort((pos, doc, proof, sup, fp))
+            fp, sup, proof, doc, pos, first, last = (x[order] for x in (fp, sup, proof, doc, pos, first, last))
             if not len(fp):
                 continue
             new = np.ones(len(fp), dtype=bool)
-            new[1:] = (fp[1:] != fp[:-1]) | (sup[1:] != sup[:-1])
+            new[1:] = (fp[1:] != fp[:-1]) | (sup[1:] != sup[:-1]) | (proof[1:] != proof[:-1])
             head = np.flatnonzero(new)
             copies = np.zeros(len(fp), dtype=np.int32)
             copies[head] = np.diff(np.append(head, len(fp)))
@@ -63,7 +68,7 @@ def anchor_rows(docs: DataFrame, kind: str, window: int, gram: int) -> DataFrame
             keep = np.ones(len(fp), dtype=bool) if kind == "byte" else ~again
             back = np.lexsort((pos, doc))  # in document order the ids compress
             back = back[keep[back]]
-            cols = [fp.view(np.int64), sup.view(np.int64), doc, *(x.astype(np.int32) for x in (pos, first, last)), copies]
+            cols = [fp.view(np.int64), sup, proof, doc, *(x.astype(np.int32) for x in (pos, first, last)), copies]
             yield pa.RecordBatch.from_arrays([pa.array(c[back]) for c in cols], schema=_ARROW)
 
     return docs.select("doc_id", "text").mapInArrow(run, ANCHOR_SCHEMA)
@@ -72,17 +77,12 @@ def anchor_rows(docs: DataFrame, kind: str, window: int, gram: int) -> DataFrame
 def heads(rows: DataFrame) -> DataFrame:
     """One row for each stretch content: where it is first, and how often it is."""
     return (
-        rows.groupBy("fp", "sup")
+        rows.groupBy(*SAME)
         .agg(F.min(F.struct("doc_id", "pos", "first", "last")).alias("head"), F.sum(F.col("copies").cast("long")).alias("copies"))
-        .select("fp", "sup", F.col("head.doc_id").alias("doc_id"), F.col("head.pos").alias("pos"), F.col("head.first").alias("first"), F.col("head.last").alias("last"), "copies")
+        .select(*SAME, F.col("head.doc_id").alias("doc_id"), F.col("head.pos").alias("pos"), F.col("head.first").alias("first"), F.col("head.last").alias("last"), "copies")
     )
 
 
-def mixed(run: DataFrame) -> DataFrame:
-    """The fps whose anchors lie in stretches of different content: only there can windows differ from their stretch."""
-    return run.groupBy("fp").agg(F.min("sup").alias("lo"), F.max("sup").alias("hi")).filter("lo <> hi").select("fp")
-
-
 def spans(rows: DataFrame, window: int, start: str = "first", last: str = "last") -> DataFrame:
     """(doc_id, span) with span = start and stop of the units that windows start..last cover."""
     return rows.select("doc_id", F.struct(F.col(start).alias("a"), (F.col(last) + F.lit(window)).alias("b")).alias("span"))

@@ -3,7 +3,7 @@
 All strings of `window` bytes that also start elsewhere are removed. Suffixes are kept at
 winnowed anchors only (see `_windows`): equal strings have their anchors at equal offsets, so
 two suffixes need comparing only if their anchors' 32-byte grams agree. Stretches that repeat
-as a whole are settled by their two hashes. For the rest, each shard (a map batch) sends its
+as a whole are settled by a 128-bit digest of their bytes. For the rest, each shard (a map batch) sends its
 anchor suffixes in suffix order, each with the bytes after and before it, the latter being what
 a Burrows-Wheeler transform keeps. The suffixes of each group are then radix-sorted by their own
 bytes; the shards' order only settles ties, and no transform is merged: the
@@ -216,9 +216,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     rows = stage.keep(W.anchor_rows(docs, "byte", window, min(gram, window)))
     firsts = rows.filter("copies > 0")
     run = stage.keep(W.heads(firsts))
-    twice = run.filter("copies > 1").select("fp", "sup")
-    parts = [W.spans(rows.filter("copies <> 1"), window), W.spans(rows.filter("copies = 1").join(twice, ["fp", "sup"]), window)]
-    shared = run.groupBy("fp").agg(F.min("sup").alias("lo"), F.max("sup").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("fp", (F.col("n") > hot).alias("hot"))
+    twice = run.filter("copies > 1").select(*W.SAME)
+    parts = [W.spans(rows.filter("copies <> 1"), window), W.spans(rows.filter("copies = 1").join(twice, W.SAME), window)]
+    shared = run.groupBy("fp").agg(F.min(F.struct("sup", "proof")).alias("lo"), F.max(F.struct("sup", "proof")).alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("fp", (F.col("n") > hot).alias("hot"))
     shared = stage.keep(shared)  # a join of plain tables can split a gram that very many suffixes share
     at = run.join(shared, "fp").groupBy("doc_id").agg(F.collect_list(F.struct("fp", "pos", "first", "last", "copies", "hot")).alias("at"))
     held = docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("doc_id"), "text").join(at, "doc_id")

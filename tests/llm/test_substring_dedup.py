@@ -49,3 +49,34 @@ def test_empty_table_and_repeated_rows(spark):
     text = " ".join(f"w{i}" for i in range(50))
     got = substring_dedup(spark.createDataFrame([(5, text), (5, text), (None, "a b")], schema)).collect()
     assert sorted((r.doc_id or -1, r.n_removed) for r in got) == [(-1, 0), (5, 0), (5, 0)]
+
+
+def test_words_are_compared_not_their_hashes(spark):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))  # polynomial hashes take it for its complement
+    b = a.translate(str.maketrans("ab", "ba"))
+    around = [f"w{i}" for i in range(30)]
+    rows = [(1, " ".join([*around[:15], a, *around[15:]])), (2, " ".join([*around[:15], b, *around[15:]]))]
+    got = {r.doc_id: r.n_removed for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0}
+
+
+def test_very_long_texts(spark):
+    words = [f"v{i * i}" for i in range(120_000)]
+    rows = [(1, " ".join(words)), (2, "x" * 3_000_000), (3, "lead " + " ".join(words[50_000:110_000])), (4, "y" * 3_000_000 + " end")]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (120_000, 0), 2: (1, 0), 3: (60_001, 60_000), 4: (2, 0)}
+
+
+def test_old_runs_are_joined_without_exchange(spark):
+    from lakeloom.llm import substring_dedup as S
+    from lakeloom.llm._stage import _BUCKETS, configured
+
+    index = S.FingerprintIndex(spark, 5, 3)
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 50}" for k in range(40))) for i in range(40)]
+    for part in (rows[:20], rows[20:]):
+        index.add(spark.createDataFrame(part, "doc_id long, text string"))
+    a, b = index.runs
+    joined = a.join(b.select(*S.W.SAME, "copies").withColumnRenamed("copies", "more").hint("merge"), S.W.SAME)
+    with configured(spark, _BUCKETS):
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "+- Sort " not in plan
