@@ -39,7 +39,8 @@ def anchor_rows(docs: DataFrame, kind: str, window: int, gram: int) -> DataFrame
     """Stretches of every document.
 
     copies: for the first stretch of its content in a map batch, the number of such stretches
-    there; 0 for the others, whose content the first one stands for.
+    there; 0 for the others, whose content the first one stands for (their fp is of their place,
+    not of their content, so that a passage of very many documents is not dealt to one bucket).
     """
 
     def run(batches):
@@ -66,6 +67,8 @@ def anchor_rows(docs: DataFrame, kind: str, window: int, gram: int) -> DataFrame
             own = np.repeat(head, copies[head])
             again = ~new & (doc == doc[own]) & (pos == pos[own])
             keep = np.ones(len(fp), dtype=bool) if kind == "byte" else ~again
+            again = copies == 0
+            fp = np.where(again, K.mix64(doc.view(K.U64) + (pos.astype(K.U64) << K.U64(40))), fp)
             back = np.lexsort((pos, doc))  # in document order the ids compress
             back = back[keep[back]]
             cols = [fp.view(np.int64), sup, proof, doc, *(x.astype(np.int32) for x in (pos, first, last)), copies]
