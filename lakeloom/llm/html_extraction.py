@@ -10,9 +10,12 @@ The content region is the innermost element that holds all blocks over the thres
 article or main element around it; all its blocks that are not set aside are the text, so short
 paragraphs of the article stay.
 
+Elements are numbered as they open and know the one around them, so all of this takes time in
+proportion to the page, however deep its elements nest.
+
 Defined cases: null or empty html gives an empty text; markup that is cut off or not closed is
-read as far as it goes; a page without block tags is one block; pages of any length are read
-whole; rows that repeat and null ids stay; an empty table returns no rows. Other columns are
+read as far as it goes; a page without block tags is one block; pages of any length and depth are
+read whole; rows that repeat and null ids stay; an empty table returns no rows. Other columns are
 ignored.
 """
 
@@ -41,30 +44,45 @@ HEAD = frozenset("base basefont bgsound link meta noframes noscript script style
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
 
+#: Elements that another of their kind, or a block, closes.
+ITEMS = frozenset("li dt dd tr td th option".split())
+CLOSING = ITEMS | frozenset("p div ul ol table h1 h2 h3 h4 h5 h6".split())
+
+
 class _Blocks(HTMLParser):
-    """Collects (text, tags, path of open elements, set aside) for each block in page order."""
+    """Collects (text, tags, innermost element) for each block in page order, and the elements: the
+    one around (a smaller number; 0 is the page), the name, whether set aside, whether words would.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, int, tuple[int, ...], bool]] = []
-        self.open: list[tuple[str, int, bool]] = []  # name, element number, set aside
-        self.names: dict[int, str] = {}
-        self.worded: set[int] = set()  # elements that words would set aside
-        self.made = self.tags = 0
+        self.blocks: list[tuple[str, int, int]] = []
+        self.around, self.names, self.out, self.worded = [0], [""], [False], [False]
+        self.open: list[tuple[int, int, int]] = []  # element, place of the nearest one that is not inline, articles around and at it
+        self.held: dict[str, int] = {}  # open elements of a name
+        self.head = -1  # place of an open head
+        self.tags = 0
         self.parts: list[str] = []
 
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         self.parts = []
         if text:
-            self.blocks.append((text, self.tags, tuple(n for _, n, _ in self.open), any(out for _, _, out in self.open)))
+            self.blocks.append((text, self.tags, self.open[-1][0] if self.open else 0))
             self.tags = 0
 
-    def _aside(self, tag: str, attrs) -> bool:
+    def _cut(self, place: int) -> None:
+        """Closes the open elements from a place on."""
+        while len(self.open) > place:
+            self.held[self.names[self.open.pop()[0]]] -= 1
+        if self.head >= place:
+            self.head = -1
+
+    def _aside(self, tag: str, attrs, articles: int) -> bool:
         if tag in ASIDE:
             return True
         if tag == "header":
-            return not any(name in ("article", "main") for name, _, _ in self.open)
+            return not articles
         if tag in ("html", "body", "article", "main"):
             return False
         return any(key == "hidden" or (key == "aria-hidden" and value == "true") for key, value in attrs)
@@ -82,39 +100,31 @@ class _Blocks(HTMLParser):
                         return True
         return False
 
-    def _close_head(self, tag: str) -> None:
-        """The body, or what cannot stand in a head, ends an open head."""
-        for i, (name, _, _) in enumerate(self.open):
-            if name == "head" and (tag == "body" or (i == len(self.open) - 1 and tag not in HEAD)):
-                self._flush()
-                del self.open[i:]
-                return
-
     def handle_starttag(self, tag, attrs):
-        self._close_head(tag)
+        if self.head >= 0 and (tag == "body" or (self.head == len(self.open) - 1 and tag not in HEAD)):
+            self._flush()  # the body, or what cannot stand in a head, ends it
+            self._cut(self.head)
         if tag not in INLINE:
             self._flush()
-            if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or tag in ("div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6"):
-                self._close_paragraph(tag)
+            near = self.open[-1][1] if self.open else -1
+            if tag in CLOSING and near >= 0:
+                name = self.names[self.open[near][0]]
+                if name == "p" or (name == tag and tag in ITEMS):
+                    self._cut(near)
         elif tag == "br":
             self.parts.append(" ")
         self.tags += 1
-        if tag not in VOID:
-            self.made += 1
-            self.open.append((tag, self.made, self._aside(tag, attrs)))
-            self.names[self.made] = tag
-            if self._worded(tag, attrs):
-                self.worded.add(self.made)
-
-    def _close_paragraph(self, tag: str) -> None:
-        """A block ends an open paragraph, with the inline elements left open in it."""
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i][0]
-            if name == "p" or (name == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                del self.open[i:]
-                return
-            if name not in INLINE:
-                return
+        if tag in VOID:
+            return
+        up, near, articles = self.open[-1] if self.open else (0, -1, 0)
+        self.around.append(up)
+        self.names.append(tag)
+        self.out.append(self.out[up] or self._aside(tag, attrs, articles))
+        self.worded.append(self._worded(tag, attrs))
+        self.held[tag] = self.held.get(tag, 0) + 1
+        if tag == "head":
+            self.head = len(self.open)
+        self.open.append((len(self.names) - 1, near if tag in INLINE else len(self.open), articles + (tag in ("article", "main"))))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -125,18 +135,34 @@ class _Blocks(HTMLParser):
         if tag not in INLINE:
             self._flush()
         self.tags += 1
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
+        if self.held.get(tag):
+            place = len(self.open) - 1
+            while self.names[self.open[place][0]] != tag:
+                place -= 1
+            self._cut(place)
 
     def handle_data(self, data):
         self.parts.append(data)
 
-    def finish(self) -> list[tuple[str, int, tuple[int, ...], bool]]:
+    def finish(self) -> None:
         self.close()
         self._flush()
-        return self.blocks
+
+    def sums(self, weights: list[tuple[int, int]]) -> list[int]:
+        """Of each element, the sum of the weights (element, weight) in it."""
+        total = [0] * len(self.names)
+        for e, w in weights:
+            total[e] += w
+        for e in range(len(total) - 1, 0, -1):
+            total[self.around[e]] += total[e]
+        return total
+
+    def within(self, chosen) -> list[bool]:
+        """Whether each element is, or is inside, a chosen one."""
+        inside = [False] * len(self.names)
+        for e in range(1, len(inside)):
+            inside[e] = inside[self.around[e]] or chosen(e)
+        return inside
 
 
 def smooth(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -167,38 +193,32 @@ def main_text(html: str | None) -> str:
     cut = html.rfind("<")
     if cut >= 0 and ">" not in html[cut:] and re.match(r"<[A-Za-z/!?]", html[cut : cut + 2]):
         html = html[:cut]  # a tag that the page's end cuts off
-    parser = _Blocks()
-    parser.feed(html)
-    blocks = [b for b in parser.finish() if not b[3]]
-    aside = parser.worded - _holders(blocks, parser)
-    blocks = [b for b in blocks if not aside.intersection(b[2])]
+    page = _Blocks()
+    page.feed(html)
+    page.finish()
+    blocks = [b for b in page.blocks if not page.out[b[2]]]
+    holders = _holders(blocks, page)
+    aside = page.within(lambda e: page.worded[e] and e not in holders)
+    blocks = [b for b in blocks if not aside[b[2]]]
     if not blocks:
         return ""
-    ratio = smooth(np.array([len(t) / max(1, tags) for t, tags, _, _ in blocks]))
-    chosen = ratio >= threshold(ratio)
-    paths = [path for (_, _, path, _), c in zip(blocks, chosen.tolist(), strict=True) if c]
-    around = set(paths[0]).intersection(*paths)
-    article = max((n for n in around if parser.names[n] in ("article", "main")), default=None)
-    region = article or max((n for n in around if _is_wide(n, blocks)), default=None)
-    return "\n".join(text for text, _, path, _ in blocks if region is None or region in path)
+    ratio = smooth(np.array([len(t) / max(1, tags) for t, tags, _ in blocks]))
+    chosen = [e for (_, _, e), c in zip(blocks, (ratio >= threshold(ratio)).tolist(), strict=True) if c]
+    held, every = page.sums([(e, 1) for e in chosen]), page.sums([(e, 1) for _, _, e in blocks])
+    around = [e for e in range(1, len(held)) if held[e] == len(chosen)]  # each inside the one before
+    article = max((e for e in around if page.names[e] in ("article", "main")), default=0)
+    region = article or max((e for e in around if every[e] > 1 or len(blocks) == 1), default=0)
+    inside = page.within(lambda e: e == region)
+    return "\n".join(text for text, _, e in blocks if not region or inside[e])
 
 
-def _holders(blocks, parser: _Blocks) -> set[int]:
+def _holders(blocks, page: _Blocks) -> set[int]:
     """Elements with all blocks of articles in them; where none is marked, with nearly all characters."""
-    marked = [path for _, _, path, _ in blocks if any(parser.names[n] in ("article", "main") for n in path)]
-    if marked:
-        return set(marked[0]).intersection(*marked)
-    held: dict[int, int] = {}
-    for text, _, path, _ in blocks:
-        for n in path:
-            held[n] = held.get(n, 0) + len(text)
-    total = sum(len(b[0]) for b in blocks)
-    return {n for n, k in held.items() if k >= HOLD * total and _is_wide(n, blocks)}
-
-
-def _is_wide(element: int, blocks) -> bool:
-    """Whether an element holds more than one block, or the only one there is."""
-    return sum(element in path for _, _, path, _ in blocks) > 1 or len(blocks) == 1
+    in_article = page.within(lambda e: page.names[e] in ("article", "main"))
+    if marked := [(e, 1) for _, _, e in blocks if in_article[e]]:
+        return {e for e, n in enumerate(page.sums(marked)) if n == len(marked)}
+    every, held = page.sums([(e, 1) for _, _, e in blocks]), page.sums([(e, len(t)) for t, _, e in blocks])
+    return {e for e, n in enumerate(held) if n >= HOLD * held[0] and (every[e] > 1 or len(blocks) == 1)}
 
 
 def extract(pages: DataFrame) -> DataFrame:

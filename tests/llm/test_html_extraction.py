@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from lakeloom.llm.html_extraction import extract, main_text, smooth, threshold
 
@@ -58,3 +59,32 @@ def test_whole_article():
         assert len(main_text(f"<body>{wrap}<article>{long * 3}</article></div></body>").split("\n")) == 3
     assert len(main_text(f"<article>{long * 3}<section id='related-work'>{long}</section><div class=related>{long}</div></article>").split("\n")) == 4
     assert len(main_text(f"<head><title>T</title><body>{long * 3}").split("\n")) == 3
+
+
+def test_time_grows_with_the_page_only():
+    began = time.monotonic()
+    assert main_text("<div>a" * 100_000).count("a") == 100_000
+    assert main_text("<b>" * 50_000 + "<p>a</p>" * 50_000).count("a") == 50_000
+    assert main_text("<div>" * 50_000 + "</x>" * 50_000 + "end") == "end"
+    assert main_text("<article>" * 20_000 + "<header>h</header>" * 20_000).count("h") == 20_000
+    assert len(main_text("word " * 2_000_000)) == 9_999_999
+    assert time.monotonic() - began < 30
+
+
+LONG = "<p>" + "Long text of the page with many words in it. " * 6 + "</p>"
+LAYOUTS = {
+    "entry": "<article><h1>Title</h1><p>lead</p><div class='entry-content'>{body}</div><p>closing</p></article>",
+    "sections": "<article><section><p>one</p></section><section>{body}</section><section><p>three</p></section></article>",
+    "notice": "<div class='page'><article class='notice-board'><h1>Title</h1>{body}</article></div>",
+    "comment": "<main><div class='comment'><h2>Title</h2>{body}</div></main><div class='comments'>{long}</div>",
+    "bare": "<div id='wrap'><div class='menu'><a href=x>m</a></div><div><h1>Title</h1>{body}</div><div class='footer'>f</div></div>",
+    "table": "<table><tr><td class='sidebar'><a href=x>m</a><td><h1>Title</h1>{body}</table>",
+}
+
+
+def test_layouts():
+    edges = {"entry": (["Title", "lead"], ["closing"]), "sections": (["one"], ["three"])}
+    for name, layout in LAYOUTS.items():
+        got = main_text("<html><head><title>T</title></head><body><nav><a href=x>n</a></nav>" + layout.replace("{body}", LONG * 6).replace("{long}", LONG) + "<footer>f</footer></body></html>").split("\n")
+        first, last = edges.get(name, (["Title"], []))
+        assert got == [*first, *[re.sub("<[^>]+>", "", LONG).strip()] * 6, *last], name
