@@ -21,12 +21,13 @@ FROM pages p LEFT JOIN (SELECT page_id, string_agg(t, chr(10) ORDER BY i) AS tex
 """
 
 DECONTAMINATION = r"""
-WITH word AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
-iword AS (SELECT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark),
-d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle FROM word),
-b AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle FROM iword),
+WITH word AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
+iword AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark),
+k AS (SELECT DISTINCT least(len(w), 5) AS k FROM iword WHERE len(w) > 0),
+d AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS shingle FROM word, k),
+b AS (SELECT DISTINCT item_id, least(len(w), 5) AS k, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda i: array_to_string(w[i:i + least(len(w), 5) - 1], ' '))) AS shingle FROM iword WHERE len(w) > 0),
 size AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id),
-pair AS (SELECT d.doc_id, b.item_id, count(*) AS n_shared FROM d JOIN b USING (shingle) GROUP BY ALL)
+pair AS (SELECT d.doc_id, b.item_id, count(*) AS n_shared FROM d JOIN b USING (k, shingle) GROUP BY ALL)
 SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM pair JOIN size USING (item_id) WHERE n_shared / n_item >= 0.8
 """
 
