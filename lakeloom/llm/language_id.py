@@ -13,8 +13,6 @@ returns no rows. Other columns are ignored.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,15 +23,18 @@ from .quality_classifier import held_out
 
 SAMPLE = 800
 PRECISION = 0.98
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[SubwordModel | None, float]:
     """A model from at most `sample` texts of each language that are not held out, and its rejection level."""
     usable = docs.filter("lang is not null and text is not null and doc_id is not null").filter(~held_out(F.col("doc_id"), 3, 1))
     usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))  # limited before the shuffle
-    chosen = usable.withColumn("rank", rank).filter(F.col("rank") <= sample).drop("rank")
+    # about 2 * sample + 200 rows of each language go on, those of the smallest hashes, so that the ranking task of a language stays small
+    sizes = usable.groupBy("lang").count().withColumn("part", F.least(F.lit(1.0), (2 * sample + 200) / F.col("count")))  # one row for each language
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    few = usable.join(F.broadcast(sizes), "lang").filter(place <= F.col("part")).select("doc_id", "lang", place.alias("place"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    chosen = few.withColumn("rank", rank).filter(F.col("rank") <= sample).select("doc_id", "lang")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
     rows = texts.join(F.broadcast(chosen), "doc_id").collect()  # `sample` ids for each language
     rows.sort(key=lambda r: (r.doc_id * 2654435761 % 2**32, r.doc_id, r.lang, r.text))
@@ -64,7 +65,7 @@ def language(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         model, level = shared.value
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            lettered = np.array([bool(t and _LETTER.search(t)) for t in texts], dtype=bool)
+            lettered = np.array([any(map(str.isalpha, t or "")) for t in texts], dtype=bool)
             if model is None:
                 lettered[:] = False
                 best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))

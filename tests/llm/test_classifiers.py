@@ -55,10 +55,10 @@ def test_language_held_out_accuracy(spark):
 def test_language_edge_cases(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(["the", "and", "of"] if i % 2 else ["der", "und", "nicht"]) for _ in range(20)), "en" if i % 2 else "de", 1) for i in range(60)]
-    rows += [(900, None, "en", 1), (901, "", None, 1), (902, "12 345 _", "en", 1), (903, "the and of", None, 1), (None, "und der", None, 1)]
+    rows += [(900, None, "en", 1), (901, "", None, 1), (902, "12 345 _", "en", 1), (904, "\u00bd \u00b2 \u2167 3", "en", 1), (905, "der und nicht " * 100_000, None, 1), (903, "the and of", None, 1), (None, "und der", None, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
     got = {r.doc_id: r for r in language(docs).collect()}
-    assert [got[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and got[902].score == 0
+    assert [got[i].lang_pred for i in (900, 901, 902, 904, 905)] == ["und"] * 4 + ["de"] and got[902].score == 0
     assert got[903].lang_pred == "en" and got[None].lang_pred == "de" and got[None].held_out is False
     assert language(docs.limit(0)).count() == 0
     none = language(docs.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()
