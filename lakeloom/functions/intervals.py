@@ -56,13 +56,18 @@ class Interval:
             return (F.year(b) - F.year(a)).cast("long")
         return F.floor((F.unix_millis(b) - F.unix_millis(a)) / F.lit(_FIXED[self.unit])).cast("long")
 
-    def range(self, start: Column, stop: Column) -> Column:
-        """All boundaries from start, before stop; empty if there are none."""
+    def range(self, start: Column, stop: Column, step: int = 1) -> Column:
+        """Every step-th boundary from start, before stop; empty if there are none, or for a step below 1."""
         first, last = self.ceil(start), self.ceil(stop)
-        n = self.count(first, last)
-        steps = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)).cast("int") - 1), lambda i: self.offset(first, i))
+        n = F.ceil(self.count(first, last) / step) if step >= 1 else F.lit(0)
+        steps = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)).cast("int") - 1), lambda i: self.offset(first, i * step))
         return F.when(n > 0, steps).otherwise(F.array().cast("array<timestamp>"))
 
+    def floor_where(self, ts: Column, test, reach: int) -> Column:
+        """The latest of the `reach` boundaries at or before ts that passes the test; null if none does."""
+        low = self.floor(ts)
+        return F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(reach - 1)), lambda i: self.offset(low, -i)), test), F.lit(0))
+
     def every(self, ts: Column, k: int) -> Column:
         """The boundary at or before ts whose field is a multiple of k (days restart each month)."""
         ts = ts.cast("timestamp")

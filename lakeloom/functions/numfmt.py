@@ -44,57 +44,96 @@ def fixed(x: Column, digits: int) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - digits), F.lit("."), F.right(text, F.lit(digits)))
 
 
-def group(text: Column) -> Column:
-    """Commas between groups of three digits of the whole part."""
-    return F.regexp_replace(text, r"(?<=\d)(?=(\d{3})+(?!\d)(?:\.|$))(?<!\.\d{0,30})", ",")
+def group(text: Column, sizes: tuple[int, ...] = (3,), comma: str = ",") -> Column:
+    """Commas in the whole part, between groups of these sizes from the right; the last size repeats."""
+    whole = F.regexp_extract(text, r"^\d*", 0)
+    back = F.reverse(whole)
+    taken, parts = 0, []
+    for size in sizes[:-1]:
+        parts.append(F.substring(back, taken + 1, size))
+        taken += size
+    rest = F.regexp_extract_all(F.substr(back, F.lit(taken + 1)), F.lit(f".{{1,{sizes[-1]}}}"), F.lit(0))
+    joined = F.array_join(F.filter(F.concat(F.array(*parts).cast("array<string>"), rest), lambda p: p != ""), comma)
+    return F.concat(F.reverse(joined), F.substr(text, F.length(whole) + 1))
 
 
 def trim_zeros(text: Column) -> Column:
     """Fraction zeros that say nothing go, and then a bare point."""
-    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+(?=\D*$)", "$1"), r"\.(?=\D*$)", "")
+    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+(?!\d)", "$1"), r"\.(?!\d)", "")
+
+
+def significant(x: Column, digits: int) -> tuple[Column, Column]:
+    """The first `digits` digits of a non-negative number as text, rounded, and its power of ten."""
+    shown = F.format_string(f"%.{digits - 1}e", x)
+    return F.replace(F.substring_index(shown, "e", 1), F.lit("."), F.lit("")), F.substring_index(shown, "e", -1).cast("int")
+
+
+def _placed(digits: Column, power: Column) -> Column:
+    """Digits with a decimal point, without an exponent."""
+    n = F.length(digits)
+    return (
+        F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+        .when(power >= n - 1, F.concat(digits, F.repeat(F.lit("0"), power - n + 1)))
+        .otherwise(F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2)))
+    )
+
+
+def _exponential(digits: Column, power: Column) -> Column:
+    point = F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise("")
+    return F.concat(F.substring(digits, 1, 1), point, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.abs(power).cast("string"))
 
 
 def si(x: Column, digits: int) -> Column:
-    """Significant digits with an SI prefix, of a positive number."""
-    exponent = F.floor(F.log10(F.when(x > 0, x)) + 1e-12)
-    third = F.greatest(F.lit(-8), F.least(F.lit(8), F.floor(exponent / 3))).cast("int")
-    scaled = x / F.pow(F.lit(10.0), third * 3)
-    places = F.greatest(F.lit(0), digits - 1 - (exponent - third * 3)).cast("int")
-    body = None
-    for p in range(digits):
-        body = fixed(scaled, p) if body is None else F.when(places == p, fixed(scaled, p)).otherwise(body)
-    prefix = F.element_at(F.array(*map(F.lit, PREFIXES)), third + 9)
-    return F.when(x == 0, fixed(F.lit(0.0), digits - 1)).otherwise(F.concat(body, prefix))
-
-
-def format_number(x: Column, spec: str) -> Column:
-    """Types f d % s b o x X; NaN is "NaN"; a negative zero shows no sign."""
+    """Significant digits with an SI prefix, of a non-negative number."""
+    text, power = significant(x, digits)
+    third = F.greatest(F.lit(-8), F.least(F.lit(8), F.floor(power / 3))).cast("int")
+    return F.concat(_placed(text, power - third * 3), F.element_at(F.array(*map(F.lit, PREFIXES)), third + 9))
+
+
+def _general(x: Column, digits: int) -> Column:
+    text, power = significant(x, digits)
+    return F.when((power < -6) | (power >= digits), _exponential(text, power)).otherwise(_placed(text, power))
+
+
+_WHOLE = {"b": lambda n: F.bin(n), "o": lambda n: F.conv(n.cast("string"), 10, 8), "x": lambda n: F.lower(F.hex(n)), "X": lambda n: F.hex(n), "d": lambda n: n.cast("string")}
+_DECIMAL = {"e": lambda a, n: _exponential(*significant(a, n + 1)), "f": fixed, "g": _general, "r": lambda a, n: _placed(*significant(a, n)), "s": si}
+_PERCENT = {"%": fixed, "p": lambda a, n: _placed(*significant(a, n))}
+
+
+def format_number(x: Column, spec: str, groups: tuple[int, ...] = (3,), currency: tuple[str, str] = ("$", "")) -> Column:
+    """Types % b c d e f g n o p r s x X and none, any other is an error; NaN is "NaN"; a number shown as zero has no sign.
+
+    groups: digits between commas, from the right; currency: what stands before and after for $.
+    """
     s = parse(spec)
+    kind, trim, comma, digits = s.type, s.trim, s.comma, 6 if s.precision is None else s.precision
+    if kind == "n":
+        kind, comma = "g", True
+    elif kind in ("", "c"):
+        kind, trim, digits = "g", True, 12 if s.precision is None else s.precision
+    if kind not in {*_WHOLE, *_DECIMAL, *_PERCENT}:
+        raise ValueError(f"unknown type in {spec!r}")
+    if kind in ("g", "p", "r", "s"):
+        digits = max(1, digits)
     x = x.cast("double")
     a = F.abs(x)
-    digits = 6 if s.precision is None else s.precision
     suffix = ""
-    if s.type == "%":
-        body, suffix = fixed(a * 100, digits), "%"
-    elif s.type == "f":
-        body = fixed(a, digits)
-    elif s.type == "s":
-        body = si(a, max(1, digits))
-    elif s.type in ("b", "o", "x", "X"):
-        whole = F.floor(a + 0.5).cast("long")
-        body = {"b": F.bin(whole), "o": F.conv(whole.cast("string"), 10, 8), "x": F.lower(F.hex(whole)), "X": F.hex(whole)}[s.type]
-        if s.symbol == "#":
-            body = F.concat(F.lit("0" + s.type.lower()), body)
+    if kind in _WHOLE:
+        body = _WHOLE[kind](F.floor(a + 0.5).cast("long"))
+        if s.symbol == "#" and kind != "d":
+            body = F.concat(F.lit("0" + kind.lower()), body)
+    elif kind in _PERCENT:
+        body, suffix = _PERCENT[kind](a * 100, digits), "%"
     else:
-        body = fixed(a, 0)
-    if s.trim:
+        body = _DECIMAL[kind](a, digits)
+    if trim:
         body = trim_zeros(body)
-    negative = (x < 0) & body.rlike("[1-9a-fA-F]") if s.type not in ("s",) else x < 0
-    if s.comma:
-        body = group(body)
+    negative = (x < 0) & F.regexp_replace(body, r"^0[box]|e[+-].*$", "").rlike("[1-9a-fA-F]")
+    if comma:
+        body = group(body, groups)
     before = F.when(negative, F.lit("(" if s.sign == "(" else "-")).otherwise(F.lit("+" if s.sign == "+" else " " if s.sign == " " else ""))
-    before = F.concat(before, F.lit("$" if s.symbol == "$" else ""))
-    after = F.concat(F.lit(suffix), F.when(negative, F.lit(")" if s.sign == "(" else "")).otherwise(F.lit("")))
+    before = F.concat(before, F.lit(currency[0] if s.symbol == "$" else ""))
+    after = F.concat(F.lit(suffix + (currency[1] if s.symbol == "$" else "")), F.when(negative, F.lit(")" if s.sign == "(" else "")).otherwise(F.lit("")))
     body = F.when(F.isnan(x), F.lit("NaN")).otherwise(body)
     if s.zero:
         body = F.lpad(body, F.greatest(F.length(body), F.lit(s.width) - F.length(before) - F.length(after)), F.lit("0"))

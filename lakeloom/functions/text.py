@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,13 +19,22 @@ def first_match(text: Column, *patterns: str) -> Column:
     return F.coalesce(*(falsy_to_null(F.trim(F.regexp_extract(text, f"(?is){p}", 1))) for p in patterns))
 
 
-def html_attribute(text: Column, tag: str, key: str, value: str, attribute: str) -> Column:
-    """An attribute of the first tag whose key attribute, written earlier in the tag, has the value.
+def tag_attributes(html: Column, tag: str) -> Column:
+    """Of each such tag in order, a map of its quoted attributes by lower-case name; of repeated names the first."""
+    tags = F.regexp_extract_all(html, F.lit(rf"""(?i)<{tag}(?=[\s/>])(?:"[^"]*"|'[^']*'|[^"'>])*>"""), F.lit(0))
+    pair = r"""([\w:.-]+)\s*=\s*("[^"]*"|'[^']*')"""
+
+    def attributes(one: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(one, F.lit(pair), F.lit(0)), lambda p: F.struct(F.lower(F.regexp_extract(p, pair, 1)).alias("k"), F.trim(F.regexp_replace(F.regexp_extract(p, pair, 2), "^.|.$", "")).alias("v")))
+        return F.map_from_entries(F.filter(found, lambda p, i: ~F.exists(F.slice(found, F.lit(1), i), lambda q: q["k"] == p["k"])))
+
+    return F.transform(tags, attributes)
 
-    Either quote may enclose an attribute; the other one may stand inside it.
-    """
-    pattern = rf"""<{tag}\b[^>]*\b{key}=(["']){value}\1[^>]*?\b{attribute}=(["'])(.*?)\2"""
-    return falsy_to_null(F.trim(F.regexp_extract(text, f"(?is){pattern}", 3)))
+
+def html_attribute(html: Column, tag: str, key: str, value: str, attribute: str) -> Column:
+    """An attribute of the first tag whose key attribute has the value, in any order; null if missing or empty."""
+    fits = F.filter(tag_attributes(html, tag), lambda m: (F.lower(F.element_at(m, key)) == value.lower()) & F.map_contains_key(m, attribute))
+    return falsy_to_null(F.element_at(F.get(fits, F.lit(0)), attribute))
 
 
 #: The entities that are written and read.
@@ -62,13 +71,17 @@ def transliterate(c: Column) -> Column:
 
 def strip_fields(bibtex: Column, *keywords: str) -> Column:
     """Removes the lines that set one of the fields."""
-    return reduce(lambda x, k: F.regexp_replace(x, rf"(?m)^.*\b{k}\b *= *\{{.*$\n", ""), keywords, bibtex)
+    names = F.array(*(F.lit(k) for k in keywords))
+    kept = F.filter(F.split(bibtex, "\n", -1), lambda line: ~(F.contains(line, F.lit("{")) & F.array_contains(names, F.trim(F.substring_index(line, "=", 1))) & F.contains(line, F.lit("="))))
+    return F.array_join(kept, "\n")
 
 
 def cited_by(description: Column, fallback: Column) -> Column:
     """The count after "Cited by"; only a null description falls back; all commas go."""
-    found = F.regexp_extract(F.coalesce(description, fallback), r"Cited by (\d+[,\d]*)", 1)
-    return F.replace(found, F.lit(","), F.lit("")).try_cast("bigint")
+    text = F.coalesce(description, fallback)
+    after = F.when(F.contains(text, F.lit("Cited by ")), F.get(F.split(text, "Cited by "), F.lit(1)))
+    number = F.replace(F.get(F.split(after, "[^0-9,]"), F.lit(0)), F.lit(","), F.lit(""))
+    return number.try_cast("bigint")
 
 
 def humanize(n: Column) -> Column:
@@ -122,11 +135,19 @@ def normalize_tex(c: Column) -> Column:
     return F.regexp_replace(c, r"[{}]", "")
 
 
-def occurrences(text: Column, term: Column) -> Column:
-    """Starts (from 0) of non-overlapping occurrences, left to right; none for an empty term."""
-    pieces = F.split(text, F.concat(F.lit(r"\Q"), term, F.lit(r"\E")), -1)
-    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))), lambda i: F.aggregate(F.slice(pieces, F.lit(1), i), F.lit(0), lambda s, p: s + F.length(p)) + (i - 1) * F.length(term))
-    return F.when((term != "") & (F.size(pieces) > 1), ends).otherwise(F.array().cast("array<int>"))
+def occurrences(rows: DataFrame, key: str, text: Column, term: Column) -> DataFrame:
+    """(key, start, stop) of non-overlapping occurrences, left to right, from 0; none for an empty term.
+
+    The text is split at the term and the lengths of the pieces are summed up along each row, so
+    the time grows with the text alone.
+    """
+    held = rows.select(key, F.monotonically_increasing_id().alias("_row"), text.alias("_text"), term.alias("_term")).filter("_term <> ''")
+    pieces = F.split("_text", F.concat(F.lit(r"\Q"), F.col("_term"), F.lit(r"\E")), -1)
+    each = held.select(key, "_row", F.length("_term").alias("_n"), F.posexplode(pieces).alias("_at", "_piece"))
+    before = F.sum(F.length("_piece")).over(Window.partitionBy(key, "_row").orderBy("_at")) + F.col("_at") * F.col("_n")
+    last = F.max("_at").over(Window.partitionBy(key, "_row"))
+    hits = each.withColumns({"start": before, "_last": last}).filter("_at < _last")
+    return hits.select(key, "start", (F.col("start") + F.col("_n")).alias("stop"))
 
 
 def contains_term(text: Column, term: str) -> Column:
@@ -169,7 +190,9 @@ def asset_path(path: Column, base: str = "/assets/pdf/") -> Column:
 
 
 def strip_paragraphs(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"</?p[^>]*>", ""), r"\n$", "")
+    """Without p tags and a line feed at the end."""
+    bare = F.array_join(F.transform(F.split(c, "(?i)<(?=/?p[\\s>])"), lambda part, i: F.when(i == 0, part).otherwise(F.substr(part, F.instr(part, ">") + 1))), "")
+    return F.rtrim(bare, F.lit("\n"))
 
 
 def links(html: Column) -> Column:

@@ -1,32 +1,56 @@
-"""BibTeX text to rows by built-in regular expressions: entries and tags with braces three deep."""
+"""BibTeX text to rows: entries and tags, with braces of any depth.
+
+A text is cut at its braces, and a running sum over the pieces of a document gives the depth at
+each. What stands at depth one after `@type` is an entry; what stands deeper is the value of a tag.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_FLAT = r"[^{}]++"
-_ONE = rf"(?:{_FLAT}|\{{(?:{_FLAT})?\}})*+"
-_TWO = rf"(?:{_FLAT}|\{{{_ONE}\}})*+"
-_THREE = rf"(?:{_FLAT}|\{{{_TWO}\}})*+"
-_ENTRY = rf"@(\w+)\s*\{{\s*([^,\s{{}}]+)\s*,({_THREE})\}}"
-_TAG = rf"""(\w+)\s*=\s*(?:\{{({_TWO})\}}|"([^"]*)"|(\w+))"""
+_HEAD = r"@(\w+)\s*$"
+#: Marks the place of a braced value in the text of an entry.
+_MARK = "\u0001"
+_TAG = rf"""(\w+)\s*=\s*(?:{_MARK}(\d+){_MARK}|"([^"]*)"|(\w+))"""
 
 
 def entries(docs: DataFrame, key: str, bibtex: str) -> DataFrame:
-    """(key, ord, entry_type, citation_key, body); comments, preambles and strings give no row."""
+    """(key, ord, entry_type, citation_key, body, values): entries in order from 0.
+
+    body has a numbered mark for each braced value, which values maps to its text. Comments,
+    preambles, strings and entries that are not closed give no row.
+    """
     text = F.regexp_replace(F.col(bibtex), r"(?m)^\s*%.*$", "")
-    found = docs.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(_ENTRY), F.lit(0))).alias("ord", "raw"))
-    part = lambda i: F.regexp_extract("raw", _ENTRY, i)
-    out = found.select(key, "ord", F.lower(part(1)).alias("entry_type"), part(2).alias("citation_key"), part(3).alias("body"))
-    return out.filter(~F.col("entry_type").isin("comment", "preamble", "string"))
+    piece = docs.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(r"[{}]|[^{}]+"), F.lit(0))).alias("at", "piece"))
+    along = Window.partitionBy(key).orderBy("at")
+    opens = F.col("piece") == "{"
+    depth = F.sum(F.when(opens, 1).when(F.col("piece") == "}", -1).otherwise(0)).over(along)
+    rows = piece.withColumns({"depth": depth, "before": F.lag("piece").over(along)})
+    rows = rows.withColumns({"entry": F.sum(F.when(opens & (F.col("depth") == 1), 1).otherwise(0)).over(along), "value": F.sum(F.when(opens & (F.col("depth") == 2), 1).otherwise(0)).over(along)})
+    starts = opens & (F.col("depth") == 1)
+    inner = (F.col("depth") > 1) | ((F.col("piece") == "}") & (F.col("depth") == 1))
+    rows = rows.filter("entry > 0").withColumn("value", F.when(inner, F.col("value")))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", c))), lambda p: p[c]), "")
+    parts = rows.filter((F.col("depth") > 0) | (F.col("piece") == "}")).groupBy(key, "entry", "value").agg(
+        F.min("at").alias("at"), joined("piece").alias("text"), F.array_sort(F.collect_list(F.when(~inner & ~starts & (F.col("depth") > 0), F.struct("at", "piece")))).alias("flat"), F.max(F.when(starts, F.regexp_extract("before", _HEAD, 1))).alias("type"), F.max((F.col("piece") == "}") & (F.col("depth") == 0)).alias("closed")
+    )
+    mark = F.array(F.struct(F.col("at"), F.concat(F.lit(_MARK), F.col("value").cast("string"), F.lit(_MARK)).alias("piece")))
+    parts = parts.withColumn("flat", F.when(F.col("value").isNotNull(), mark).otherwise(F.col("flat")))
+    pairs = F.collect_list(F.when(F.col("value").isNotNull(), F.struct("value", F.expr("substr(text, 2, length(text) - 2)").alias("text"))))
+    found = parts.groupBy(key, "entry").agg(F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("flat"))), lambda p: p["piece"]), "").alias("body"), F.map_from_entries(pairs).alias("values"), F.max("type").alias("entry_type"), F.max("closed").alias("closed"))
+    name = F.trim(F.substring_index("body", ",", 1))
+    found = found.filter(F.col("closed") & (F.col("entry_type") != "") & ~F.lower("entry_type").isin("comment", "preamble", "string") & F.contains("body", F.lit(",")) & name.rlike(r"^\S+$"))
+    order = F.row_number().over(Window.partitionBy(key).orderBy("entry")) - 1
+    return found.select(key, order.alias("ord"), F.lower("entry_type").alias("entry_type"), name.alias("citation_key"), F.expr("substr(body, instr(body, ',') + 1)").alias("body"), "values")
 
 
 def tags(found: DataFrame, key: str) -> DataFrame:
     """entries with a map of lower-case tag names to values; of repeated names the last wins."""
     raw = F.regexp_extract_all("body", F.lit(_TAG), F.lit(0))
-    name = lambda t: F.lower(F.regexp_extract(t, _TAG, 1))
-    value = lambda t: F.trim(F.regexp_replace(F.concat(*(F.regexp_extract(t, _TAG, i) for i in (2, 3, 4))), r"\s+", " "))
-    pairs = F.transform(raw, lambda t: F.struct(name(t).alias("name"), value(t).alias("value")))
+    number = lambda t: F.regexp_extract(t, _TAG, 2).try_cast("long")
+    quoted = lambda t: F.aggregate(F.map_entries("values"), F.regexp_extract(t, _TAG, 3), lambda s, v: F.replace(s, F.concat(F.lit(_MARK), v["key"].cast("string"), F.lit(_MARK)), F.concat(F.lit("{"), v["value"], F.lit("}"))))
+    value = lambda t: F.coalesce(F.element_at("values", number(t)), F.concat(quoted(t), F.regexp_extract(t, _TAG, 4)))
+    pairs = F.transform(raw, lambda t: F.struct(F.lower(F.regexp_extract(t, _TAG, 1)).alias("name"), F.trim(F.regexp_replace(value(t), r"\s+", " ")).alias("value")))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["name"] == p["name"]))
-    return found.withColumn("tags", F.map_from_entries(last)).drop("body")
+    return found.withColumn("tags", F.map_from_entries(last)).drop("body", "values")

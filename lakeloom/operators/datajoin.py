@@ -14,22 +14,31 @@ def _text_key(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("null"))
 
 
-def _numbered(df: DataFrame, group: str | None, key: str, order: str) -> DataFrame:
-    keys = ([group] if group else []) + ["_key"]
-    return df.withColumn("_key", _text_key(F.col(key))).withColumn("_turn", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+def _split(df: DataFrame, group: str | None, key: str, order: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """(first rows of each key, the others), as (group, _key, _order, _value).
+
+    The first is found by partial aggregation, so a key that very many rows share, or lack, makes
+    one row for each task before the shuffle. Places (`order`) are distinct within a group.
+    """
+    on = ([group] if group else []) + ["_key"]
+    rows = df.select(*([group] if group else []), _text_key(F.col(key)).alias("_key"), F.col(order).alias("_order"), F.col(value).alias("_value"))
+    first = rows.groupBy(*on).agg(F.min(F.struct("_order", "_value")).alias("_f")).select(*on, "_f.*")
+    rest = rows.join(first.select(*on, F.col("_order").alias("_least")), on).filter("_order <> _least").drop("_least")
+    return first, rest
 
 
 def keyed(nodes: DataFrame, data: DataFrame, key: str, order: str, value: str, group: str | None = None) -> DataFrame:
     """(group, key, side, node_value, data_value, node_order, data_order), side update, enter or exit."""
-    n, d = _numbered(nodes, group, key, order), _numbered(data, group, key, order)
     on = ([group] if group else []) + ["_key"]
-    first = lambda df, name: df.filter("_turn = 1").select(*on, F.col(order).alias(f"{name}_order"), F.col(value).alias(f"{name}_value"))
-    both = first(n, "node").join(first(d, "data"), on, "full_outer")
+    named = lambda df, name: df.withColumnsRenamed({"_order": f"{name}_order", "_value": f"{name}_value"})
+    (n, more_n), (d, more_d) = (tuple(named(x, name) for x in _split(df, group, key, order, value)) for df, name in ((nodes, "node"), (data, "data")))
+    both = n.join(d, on, "full_outer")
     side = F.when(F.col("node_order").isNotNull() & F.col("data_order").isNotNull(), "update").when(F.col("data_order").isNotNull(), "enter").otherwise("exit")
-    both = both.withColumn("side", side)
-    rest_n = n.filter("_turn > 1").select(*on, F.col(order).alias("node_order"), F.col(value).alias("node_value"), F.lit("exit").alias("side"))
-    rest_d = d.filter("_turn > 1").select(*on, F.col(order).alias("data_order"), F.col(value).alias("data_value"), F.lit("enter").alias("side"))
-    return both.unionByName(rest_n, allowMissingColumns=True).unionByName(rest_d, allowMissingColumns=True).withColumnRenamed("_key", "key")
+    rest = more_n.withColumn("side", F.lit("exit")), more_d.withColumn("side", F.lit("enter"))
+    out = both.withColumn("side", side)
+    for r in rest:
+        out = out.unionByName(r, allowMissingColumns=True)
+    return out.withColumnRenamed("_key", "key")
 
 
 def joined(result: DataFrame) -> DataFrame:

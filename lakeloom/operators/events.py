@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,15 +17,31 @@ def debounce(events: DataFrame, key: str, ts: str, tie: str, gap: Column) -> Dat
 def throttle(events: DataFrame, key: str, ts: str, seconds: float) -> DataFrame:
     """(key, ts) of events that come later than `seconds` after the last one let through.
 
-    A fold over each key's sorted times, so one key's times must fit into a row (an array of
-    longs); keys are spread over all tasks. For unbounded keys see streaming.throttle.
+    Each task reads its keys' times in order, a batch at a time, and carries the last key and
+    time over to the next batch, so a key may have any number of events.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    times = events.groupBy(key).agg(F.array_sort(F.collect_list(micros)).alias("t"))
-    last = F.element_at
-    start = F.array().cast("array<bigint>")
-    kept = F.aggregate("t", start, lambda acc, x: F.when((F.size(acc) == 0) | (x - last(acc, -1) > F.lit(int(seconds * 1e6))), F.array_append(acc, x)).otherwise(acc))
-    return times.select(key, F.explode(kept).alias("t")).select(key, F.timestamp_micros("t").alias(ts))
+    wait = int(seconds * 1e6)
+    rows = events.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).filter("t is not null")
+    rows = rows.withColumn("_k", F.xxhash64(key)).repartition("_k").sortWithinPartitions("_k", key, "t").select(key, "t")
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches):
+        name, last = None, None
+        for batch in batches:
+            times = batch.column(1).to_numpy()
+            names = batch.column(0).to_pylist()
+            turns = [i for i in range(1, len(names)) if names[i] != names[i - 1]]
+            keep = []
+            for a, b in zip([0, *turns], [*turns, len(names)], strict=True) if names else []:
+                if last is None or names[a] != name:
+                    keep.append(a)
+                    name, last = names[a], times[a]
+                while (at := a + int(np.searchsorted(times[a:b], last + wait, side="right"))) < b:
+                    keep.append(at)
+                    last = times[at]
+            yield batch.take(pa.array(sorted(keep), pa.int64()))
+
+    return rows.mapInArrow(run, f"`{key}` {kind}, t long").select(key, F.timestamp_micros("t").alias(ts))
 
 
 def changes(events: DataFrame, key: str, ts: str, tie: str, value: Column) -> DataFrame:

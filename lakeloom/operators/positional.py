@@ -5,21 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that a global order is dealt into.
-RANGES = 64
+#: Rows of a range that a global order is dealt into, and ranges at most.
+ROWS = 200_000
+MOST_RANGES = 4096
 
 
-def global_ordinal(df: DataFrame, lead: str, *ties: Column, name: str = "ordinal", ranges: int = RANGES) -> DataFrame:
+def value_ranges(df: DataFrame, number: Column, ranges: int | None = None) -> tuple[Column, int]:
+    """(range of a value, number of ranges): ranges of about ROWS rows, cut by approximate quantiles; -1 for nulls."""
+    if ranges is None:
+        ranges = max(1, min(MOST_RANGES, df.count() // ROWS + 1))
+    if ranges == 1:
+        return F.when(number.isNull(), -1).otherwise(0), 1
+    cuts = df.agg(F.percentile_approx(number, [i / ranges for i in range(1, ranges)]).alias("c")).first().c or []
+    cuts = sorted(set(cuts))
+    part = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c <= number)) if cuts else F.lit(0)
+    return F.when(number.isNull(), -1).otherwise(part), len(cuts) + 1
+
+
+def global_ordinal(df: DataFrame, lead: str, *ties: Column, name: str = "ordinal", ranges: int | None = None) -> DataFrame:
     """0-based position in the order of a numeric or time column and ties, without one global task.
 
-    Rows are dealt into value ranges by approximate quantiles, numbered inside each, and
-    shifted by the sizes of the ranges before.
+    Rows are dealt into value ranges; each is numbered inside and shifted by the sizes of those
+    before. Rows of one value stay in one range.
     """
     number = F.col(lead).cast("double") if dict(df.dtypes)[lead] not in ("timestamp", "timestamp_ntz", "date") else F.unix_micros(F.col(lead).cast("timestamp")).cast("double")
-    cuts = df.agg(F.percentile_approx(number, F.array(*(F.lit(i / ranges) for i in range(1, ranges)))).alias("c")).first().c or []
-    part = sum((F.when(number >= c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
-    dealt = df.withColumn("_part", F.coalesce(part, F.lit(-1)))
-    sizes = dealt.groupBy("_part").count()  # at most `ranges` + 1 rows
+    part, _ = value_ranges(df, number, ranges)
+    dealt = df.withColumn("_part", part)
+    sizes = dealt.groupBy("_part").count()  # a row for each range
     shift = sizes.withColumn("_shift", F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
     place = F.row_number().over(Window.partitionBy("_part").orderBy(F.col(lead), *ties)) - 1
     return dealt.withColumn("_place", place).join(F.broadcast(shift), "_part").withColumn(name, (F.col("_place") + F.coalesce("_shift", F.lit(0))).cast("long")).drop("_part", "_place", "_shift", "count")
@@ -52,25 +64,31 @@ def collected_keys(df: DataFrame, doc: str, pos: str, keys: str, trim: bool = Tr
     return first.select(doc, "key", (F.row_number().over(Window.partitionBy(doc).orderBy("first")) - 1).alias("number"))
 
 
-def cells(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Characters of a text diagram as (key, y, x, ch); the first and last line are left out."""
+def diagram_lines(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, y, line) of a text diagram: empty lines, and the first and last one, are left out."""
     lines = F.split(text, "\n", -1)
-    inner = df.select(key, F.posexplode(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 2, F.lit(0)))).alias("y", "line")).filter("line <> ''")
-    return inner.select(key, "y", F.posexplode(F.split("line", "")).alias("x", "ch")).filter("ch <> ''")
+    return df.select(key, F.posexplode(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 2, F.lit(0)))).alias("y", "line")).filter("line <> ''")
+
+
+def characters(line: Column) -> Column:
+    return F.filter(F.split(line, ""), lambda c: c != "")
 
 
-def quoted(grid: DataFrame, key: str) -> DataFrame:
-    """Whether an odd number of quote marks stands before a character in its line."""
-    before = F.sum(F.when(F.col("ch") == '"', 1).otherwise(0)).over(Window.partitionBy(key, "y").orderBy("x").rowsBetween(Window.unboundedPreceding, -1))
-    return grid.withColumn("quoted", F.coalesce(before, F.lit(0)) % 2 == 1)
+def quoted(line: Column, ch: Column) -> Column:
+    """For each character of a line, whether an odd number of quote marks stands before it; ch is characters(line)."""
+    marks = F.split(line, '"', -1)  # characters of odd pieces, and the mark that ends each, stand after an odd number
+    return F.flatten(F.transform(marks, lambda piece, i: F.array_repeat(i % 2 == 1, (F.length(piece) + F.when(i < F.size(marks) - 1, 1).otherwise(0)).cast("int"))))
 
 
-def around(grid: DataFrame, key: str) -> DataFrame:
-    """The eight neighbours of each character; a space where there is none."""
-    moves = {"tl": (-1, -1), "t": (-1, 0), "tr": (-1, 1), "l": (0, -1), "r": (0, 1), "bl": (1, -1), "b": (1, 0), "br": (1, 1)}
-    shifted = grid.select(key, F.explode(F.array(*(F.struct(F.lit(n).alias("name"), (F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), F.col("ch").alias("near")) for n, (dy, dx) in moves.items()))).alias("s")).select(key, "s.*")
-    wide = shifted.groupBy(key, "y", "x").agg(*(F.max(F.when(F.col("name") == n, F.col("near"))).alias(n) for n in moves))
-    return grid.join(wide, [key, "y", "x"], "left").na.fill(" ", list(moves))
+def around(lines: DataFrame, key: str) -> DataFrame:
+    """(key, y, ch, ring): a line's characters, and of each its eight neighbours from top left to bottom right; a space where there is none."""
+    w = Window.partitionBy(key).orderBy("y")
+    beside = lambda f, step: F.when(f("y").over(w) == F.col("y") + step, f("ch").over(w))
+    rows = lines.select(key, "y", characters(F.col("line")).alias("ch"))
+    rows = rows.withColumns({"up": beside(F.lag, -1), "down": beside(F.lead, 1)})
+    at = lambda c, i: F.when(i >= 0, F.get(c, i))
+    ring = F.transform("ch", lambda _, x: F.concat(*(F.coalesce(at(F.col(c), x + dx), F.lit(" ")) for c, dx in (("up", -1), ("up", 0), ("up", 1), ("ch", -1), ("ch", 1), ("down", -1), ("down", 0), ("down", 1)))))
+    return rows.withColumn("ring", ring).drop("up", "down")
 
 
 def first_n(items: Column, n: int) -> Column:

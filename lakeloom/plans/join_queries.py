@@ -128,12 +128,12 @@ def visible_points(spark, d):
 
 
 def asof_section(spark, d):
-    bounds = load(spark, d, "part").filter("p_partkey % 50 = 0").groupBy((F.floor("p_retailprice") * 1.0).alias("lo")).agg(F.min("p_partkey").alias("section"))
+    bounds = load(spark, d, "part").groupBy((F.floor("p_retailprice") * 1.0).alias("lo")).agg(F.min("p_partkey").alias("section"))
     points = load(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 200).alias("x"))
     return lookup.active_section(points, bounds, "x", "lo", "section").select("o_orderkey", "section")
 
 
-ASOF = """WITH b AS (SELECT floor(p_retailprice) * 1.0 AS lo, min(p_partkey) AS section FROM part WHERE p_partkey % 50 = 0 GROUP BY 1), p AS (SELECT o_orderkey, o_totalprice / 200 AS x FROM orders)
+ASOF = """WITH b AS (SELECT floor(p_retailprice) * 1.0 AS lo, min(p_partkey) AS section FROM part GROUP BY 1), p AS (SELECT o_orderkey, o_totalprice / 200 AS x FROM orders)
 SELECT o_orderkey, section FROM p ASOF LEFT JOIN b ON x >= lo"""
 
 
@@ -147,19 +147,21 @@ DIFFS = """WITH a AS (SELECT l_returnflag, l_linestatus, l_linenumber FROM linei
 SELECT side, l_returnflag, l_linestatus, l_linenumber, count(*) AS n FROM (SELECT *, 'a' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'b' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) GROUP BY ALL"""
 
 
-#: The attribute allow-list and the URLs that count as safe.
+#: The attribute allow-list.
 _ALLOWED = [("*", "^(class|dir|id|lang|role|aria-.*)$"), ("a", "^(href|target)$"), ("img", "^(src|alt)$")]
-_SAFE_URL = r"^(?:(?:https?|mailto|ftp|tel|file):|[^&:/?#]*(?:[/?#]|$))"
+
+
+_URLS = ("javascript:", "/path:", "SMS:", "data:image/png;base64,", "data:text/html;base64,", "a?b:", "x.html#", "ftp:")
 
 
 def attr_allowlist(spark, d):
-    rows = load(spark, d, "events").select("event_id", F.element_at(F.array(*map(F.lit, ("a", "img", "p", "iframe"))), (F.col("event_id") % 4 + 1).cast("int")).alias("tag"), F.element_at(F.array(*map(F.lit, ("href", "aria-label", "onclick", "src", "class"))), (F.col("user_id") % 5 + 1).cast("int")).alias("attr"), F.when(F.col("event_id") % 3 == 0, "javascript:x()").otherwise("/path").alias("value"))
+    rows = load(spark, d, "events").select("event_id", F.element_at(F.array(*map(F.lit, ("a", "img", "p", "iframe"))), (F.col("event_id") % 4 + 1).cast("int")).alias("tag"), F.element_at(F.array(*map(F.lit, ("href", "aria-label", "onclick", "src", "class"))), (F.col("user_id") % 5 + 1).cast("int")).alias("attr"), F.concat(F.element_at(F.array(*map(F.lit, _URLS)), (F.col("event_id") % len(_URLS) + 1).cast("int")), F.col("event_type")).alias("value"))
     allow = spark.createDataFrame(_ALLOWED, "tag string, pattern string")
-    return lookup.allowed(rows, allow, _SAFE_URL).select("event_id", "tag", "attr", "value")
+    return lookup.allowed(rows, allow).select("event_id", "tag", "attr", "value")
 
 
-ALLOW = r"""WITH r AS (SELECT event_id, ['a', 'img', 'p', 'iframe'][event_id % 4 + 1] AS tag, ['href', 'aria-label', 'onclick', 'src', 'class'][user_id % 5 + 1] AS attr, CASE WHEN event_id % 3 = 0 THEN 'javascript:x()' ELSE '/path' END AS value FROM events)
-SELECT * FROM r WHERE (attr IN ('aria-label', 'class') OR (tag = 'a' AND attr = 'href') OR (tag = 'img' AND attr = 'src')) AND (attr NOT IN ('href', 'src') OR value = '/path')"""
+ALLOW = r"""WITH r AS (SELECT event_id, ['a', 'img', 'p', 'iframe'][event_id % 4 + 1] AS tag, ['href', 'aria-label', 'onclick', 'src', 'class'][user_id % 5 + 1] AS attr, ['javascript:', '/path:', 'SMS:', 'data:image/png;base64,', 'data:text/html;base64,', 'a?b:', 'x.html#', 'ftp:'][event_id % 8 + 1] || event_type AS value FROM events)
+SELECT * FROM r WHERE (attr IN ('aria-label', 'class') OR (tag = 'a' AND attr = 'href') OR (tag = 'img' AND attr = 'src')) AND (attr NOT IN ('href', 'src') OR event_id % 8 IN (1, 2, 5, 6, 7) OR (event_id % 8 = 3 AND regexp_matches(substr(value, 23), '^[0-9A-Za-z+/]+=*$')))"""
 
 
 def cite_numbers(spark, d):
@@ -192,17 +194,20 @@ SELECT conv_id, CASE WHEN rest = 0 AND len(s) > 1 THEN array_to_string(s[1:len(s
 CASE WHEN rest = 1 THEN '1 more author' WHEN rest > 1 THEN rest || ' more authors' END AS label FROM u"""
 
 
-def _grid(spark, d):
-    diagram = F.concat(F.lit("\n"), F.regexp_replace(F.substring("text", 1, 120), "[aeiou]", '"'), F.lit("\n"))
-    return positional.cells(load(spark, d, "documents").filter("lang = 'en'").select("doc_id", diagram.alias("diagram")), "doc_id", "diagram")
+def _lines(spark, d):
+    """Whole texts as diagrams, vowels as quote marks."""
+    diagram = F.concat(F.lit("\n"), F.regexp_replace("text", "[aeiou]", '"'), F.lit("\n"))
+    return positional.diagram_lines(load(spark, d, "documents").select("doc_id", diagram.alias("diagram")), "doc_id", "diagram")
 
 
-_GRID = """l AS (SELECT doc_id, string_split(regexp_replace(left(text, 120), '[aeiou]', '"', 'g'), chr(10)) AS lines FROM documents WHERE lang = 'en'),
-y AS (SELECT doc_id, unnest(range(len(lines))) AS y, unnest(lines) AS line FROM l), g AS (SELECT doc_id, y, unnest(range(length(line))) AS x, unnest(string_split(line, '')) AS ch FROM y WHERE line <> '')"""
+_LINES = """l AS (SELECT doc_id, string_split(regexp_replace(text, '[aeiou]', '"', 'g'), chr(10)) AS lines FROM documents),
+y AS (SELECT doc_id, unnest(range(len(lines))) AS y, unnest(lines) AS line FROM l)"""
+_GRID = f"""{_LINES}, g AS (SELECT doc_id, y, unnest(range(1, length(line) + 1)) AS x, unnest(string_split(line, '')) AS ch FROM y WHERE line <> '')"""
 
 
 def quote_parity(spark, d):
-    return positional.quoted(_grid(spark, d), "doc_id").groupBy("doc_id", "y").agg(F.count_if("quoted").alias("inside"), F.count("*").alias("n")).withColumn("y", F.col("y").cast("long"))
+    flags = positional.quoted(F.col("line"), positional.characters(F.col("line")))
+    return _lines(spark, d).select("doc_id", F.col("y").cast("long").alias("y"), F.size(F.filter(flags, lambda q: q)).cast("long").alias("inside"), F.size(flags).cast("long").alias("n"))
 
 
 PARITY = f"""WITH {_GRID}, q AS (SELECT doc_id, y, coalesce(sum((ch = '"')::INT) OVER (PARTITION BY doc_id, y ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS quoted FROM g)
@@ -210,14 +215,12 @@ SELECT doc_id, y, count(*) FILTER (quoted) AS inside, count(*) AS n FROM q GROUP
 
 
 def neighbours(spark, d):
-    wide = positional.around(_grid(spark, d), "doc_id")
-    return wide.select("doc_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "ch", F.concat("tl", "t", "tr", "l", "r", "bl", "b", "br").alias("ring"))
+    return positional.around(_lines(spark, d), "doc_id").select("doc_id", F.col("y").cast("long").alias("y"), F.md5(F.array_join("ring", "|")).alias("rings"))
 
 
-NEIGHBOURS = f"""WITH {_GRID} SELECT g.doc_id, g.y, g.x, g.ch, coalesce(a.ch, ' ') || coalesce(b.ch, ' ') || coalesce(c.ch, ' ') || coalesce(e.ch, ' ') || coalesce(f.ch, ' ') || coalesce(h.ch, ' ') || coalesce(i.ch, ' ') || coalesce(j.ch, ' ') AS ring FROM g
-LEFT JOIN g a ON a.doc_id = g.doc_id AND a.y = g.y - 1 AND a.x = g.x - 1 LEFT JOIN g b ON b.doc_id = g.doc_id AND b.y = g.y - 1 AND b.x = g.x LEFT JOIN g c ON c.doc_id = g.doc_id AND c.y = g.y - 1 AND c.x = g.x + 1
-LEFT JOIN g e ON e.doc_id = g.doc_id AND e.y = g.y AND e.x = g.x - 1 LEFT JOIN g f ON f.doc_id = g.doc_id AND f.y = g.y AND f.x = g.x + 1 LEFT JOIN g h ON h.doc_id = g.doc_id AND h.y = g.y + 1 AND h.x = g.x - 1
-LEFT JOIN g i ON i.doc_id = g.doc_id AND i.y = g.y + 1 AND i.x = g.x LEFT JOIN g j ON j.doc_id = g.doc_id AND j.y = g.y + 1 AND j.x = g.x + 1"""
+NEIGHBOURS = f"""WITH {_LINES}, a AS (SELECT doc_id, y, line, CASE WHEN lag(y) OVER w = y - 1 THEN lag(line) OVER w ELSE '' END AS up, CASE WHEN lead(y) OVER w = y + 1 THEN lead(line) OVER w ELSE '' END AS down FROM y WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY y)),
+p AS (SELECT doc_id, y, ' ' || line || ' ' AS line, ' ' || up || repeat(' ', length(line) + 1) AS up, ' ' || down || repeat(' ', length(line) + 1) AS down, length(line) AS n FROM a)
+SELECT doc_id, y, md5(array_to_string(list_transform(range(1, n + 1), lambda x: substr(up, x, 3) || substr(line, x, 1) || substr(line, x + 2, 1) || substr(down, x, 3)), '|')) AS rings FROM p"""
 
 
 def cyclic_next(spark, d):
@@ -263,7 +266,7 @@ def json_path_k(spark, d):
 
 
 def memo_cells(spark, d):
-    item = F.struct(F.array(F.col("role"), F.col("turn").cast("string"), F.substring("text", 1, 10)).alias("values"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("/t/"), F.col("turn").cast("string"))).otherwise("").alias("url"))
+    item = F.struct(F.array(F.col("role"), F.col("turn").cast("string"), F.md5("text")).alias("values"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("/t/"), F.col("turn").cast("string"))).otherwise("").alias("url"))
     docs = load(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", item.alias("i")))), lambda x: x["i"]).alias("items")).withColumn("classes", F.array(F.lit("c0"), F.lit("c1")))
     out = memo.cells(docs, "conv_id", "items", "classes")
     return out.withColumns({c: F.col(c).cast("long") for c in ("row", "col")})
@@ -271,7 +274,7 @@ def memo_cells(spark, d):
 
 MEMO = """WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS row FROM conversations)
 SELECT conv_id, row, 0::BIGINT AS col, role AS value, 'c0' AS css, NULL::VARCHAR AS link FROM t UNION ALL SELECT conv_id, row, 1, turn::VARCHAR, 'c1', NULL FROM t
-UNION ALL SELECT conv_id, row, 2, left(text, 10), '', CASE WHEN turn % 2 = 0 THEN '/t/' || turn END FROM t"""
+UNION ALL SELECT conv_id, row, 2, md5(text), '', CASE WHEN turn % 2 = 0 THEN '/t/' || turn END FROM t"""
 
 
 def config_merge(spark, d):
@@ -330,13 +333,18 @@ ARRAYS = """SELECT p_partkey, array_to_string(list_reverse(a), '|') AS turned, l
 len(list_distinct(flatten(list_transform(a, lambda x: string_split(x, '')))))::BIGINT AS distinct_letters FROM (SELECT p_partkey, list_transform(string_split(p_name, ' '), lambda x: trim(x)) AS a FROM part)"""
 
 
+def _deep(brace, more):
+    """Braces as deep as a third of the key, and one."""
+    return F.repeat(brace, (F.floor(F.col("n_nationkey") / 3) + 1 + more).cast("int"))
+
+
 def bibtex_entries(spark, d):
-    bib = F.concat(F.lit("% note\n@article{key"), F.col("n_nationkey").cast("string"), F.lit(",\n title = {The {Big} "), F.col("n_name"), F.lit("},\n year = 2020, Author = \"Doe, J\", year = "), (F.col("n_nationkey") + 1990).cast("string"), F.lit("}\n@comment{x}\n@book{b"), F.col("n_regionkey").cast("string"), F.lit(",title={T}}"))
+    bib = F.concat(F.lit("% note\n@article{key"), F.col("n_nationkey").cast("string"), F.lit(",\n title = {The "), _deep(F.lit("{"), 0), F.lit("Big"), _deep(F.lit("}"), 0), F.lit(" "), F.col("n_name"), F.lit("},\n year = 2020, Author = \"Doe, J\", year = "), (F.col("n_nationkey") + 1990).cast("string"), F.lit("}\n@comment{x}\n@book{b"), F.col("n_regionkey").cast("string"), F.lit(",title={T}}"))
     found = bibliography.tags(bibliography.entries(load(spark, d, "nation").select("n_nationkey", bib.alias("bib")), "n_nationkey", "bib"), "n_nationkey")
     return found.select("n_nationkey", "entry_type", "citation_key", *(F.element_at("tags", F.lit(k)).alias(k) for k in ("title", "year", "author")))
 
 
-BIBTEX = """SELECT n_nationkey, 'article' AS entry_type, 'key' || n_nationkey AS citation_key, 'The {Big} ' || n_name AS title, (n_nationkey + 1990)::VARCHAR AS year, 'Doe, J' AS author FROM nation
+BIBTEX = """SELECT n_nationkey, 'article' AS entry_type, 'key' || n_nationkey AS citation_key, 'The ' || repeat('{', (n_nationkey // 3 + 1)::INT) || 'Big' || repeat('}', (n_nationkey // 3 + 1)::INT) || ' ' || n_name AS title, (n_nationkey + 1990)::VARCHAR AS year, 'Doe, J' AS author FROM nation
 UNION ALL SELECT n_nationkey, 'book', 'b' || n_regionkey, 'T', NULL, NULL FROM nation"""
 
 QUERIES = {

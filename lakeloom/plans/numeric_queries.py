@@ -267,6 +267,26 @@ def num_format_si(spark, d):
     return load(spark, d, "part").select("p_partkey", numfmt.format_number(F.pow(F.col("p_partkey").cast("double"), F.lit(3)) / 1000, ".3s").alias("si"), numfmt.format_number(F.lit(1.5) / (F.col("p_partkey") + 1), ".2~s").alias("small"))
 
 
+def _digits_sql(x, n, e):
+    """Of x the first n digits (as a number up to 10 ** n) at the power of ten e."""
+    return f"floor(({x}) / pow(10::DOUBLE, {e} - {n - 1}) + 0.5)"
+
+
+NUM_FORMAT_SI = f"""WITH t AS (SELECT p_partkey, pow(p_partkey::DOUBLE, 3) / 1000 AS x, 1.5::DOUBLE / (p_partkey + 1) AS y FROM part),
+u AS (SELECT *, CASE WHEN x > 0 THEN floor(log10(x) + 1e-12)::INT ELSE 0 END AS e, floor(log10(y) + 1e-12)::INT AS f FROM t),
+v AS (SELECT p_partkey, CASE WHEN {_digits_sql('x', 3, 'e')} >= 1000 THEN e + 1 ELSE e END AS e, CASE WHEN {_digits_sql('x', 3, 'e')} >= 1000 THEN 100 ELSE {_digits_sql('x', 3, 'e')} END AS d, CASE WHEN {_digits_sql('y', 2, 'f')} >= 100 THEN f + 1 ELSE f END AS f, CASE WHEN {_digits_sql('y', 2, 'f')} >= 100 THEN 10 ELSE {_digits_sql('y', 2, 'f')} END AS c FROM u),
+w AS (SELECT *, floor(e / 3.0)::INT AS g, floor(f / 3.0)::INT AS h FROM v)
+SELECT p_partkey, CASE e - g * 3 WHEN 0 THEN printf('%.2f', d / 100) WHEN 1 THEN printf('%.1f', d / 10) ELSE printf('%.0f', d) END || ['m', '', 'k', 'M', 'G', 'T'][g + 2] AS si,
+CASE f - h * 3 WHEN 0 THEN regexp_replace(printf('%.1f', c / 10), '[.]0$', '') WHEN 1 THEN printf('%.0f', c) ELSE printf('%.0f', c * 10) END || ['n', 'µ', 'm', ''][h + 4] AS small FROM w"""
+
+_TYPES = {"general": ".4g", "rounded": ".2r", "share": ".2p", "power": ".3e", "plain": "", "number": ".6n"}
+
+
+def num_format_types(spark, d):
+    x = (F.floor("c_acctbal") - 5000) * F.when(F.col("c_custkey") % 3 == 0, 1000.0).when(F.col("c_custkey") % 3 == 1, 1.0).otherwise(0.125)
+    return load(spark, d, "customer").select("c_custkey", *(numfmt.format_number(x, s).alias(n) for n, s in _TYPES.items()))
+
+
 QUERIES = {
     "date_parse_roundtrip": (date_parse_roundtrip, DATE_PARSE),
     "rfc822_dates": (rfc822_dates, "SELECT event_id, strftime(ts, '%a, %d %b %Y %H:%M:%S') || ' +0000' AS rfc FROM events"),
@@ -290,5 +310,6 @@ QUERIES = {
     "curve_samples": (curve_samples, CURVE),
     "orthographic_points": (orthographic_points, ORTHO),
     "num_format": (num_format, NUM_FORMAT),
-    "num_format_si": (num_format_si, None),
+    "num_format_si": (num_format_si, NUM_FORMAT_SI),
+    "num_format_types": (num_format_types, None),
 }

@@ -126,18 +126,16 @@ def grid_size(spark, d):
 
 def glyph_classes(spark, d):
     """Letters beside letters are text, lone ones glyphs; v is always a glyph."""
-    diagram = F.concat(F.lit("\n"), F.substring("text", 1, 60), F.lit("\n"))
-    grid = positional.cells(load(spark, d, "documents").filter("lang = 'en' and doc_id % 5 = 0").select("doc_id", diagram.alias("t")), "doc_id", "t")
-    w = Window.partitionBy("doc_id", "y").orderBy("x")
-    letter = "^[a-uw-zA-Z]$"
-    near = F.coalesce(F.lag("ch").over(w), F.lit(" ")).rlike("^[a-zA-Z]$") | F.coalesce(F.lead("ch").over(w), F.lit(" ")).rlike("^[a-zA-Z]$")
-    kind = F.when(F.col("ch").rlike(letter) & near, "text").when(F.col("ch") == " ", "space").otherwise("glyph")
-    return grid.withColumn("kind", kind).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
-
-
-GLYPHS = """WITH l AS (SELECT doc_id, string_split(left(text, 60), chr(10)) AS lines FROM documents WHERE lang = 'en' AND doc_id % 5 = 0), y AS (SELECT doc_id, unnest(range(len(lines))) AS y, unnest(lines) AS line FROM l),
-g AS (SELECT doc_id, y, unnest(range(length(line))) AS x, unnest(string_split(line, '')) AS ch FROM y WHERE line <> ''),
-k AS (SELECT doc_id, ch, regexp_matches(coalesce(lag(ch) OVER w, ' '), '^[a-zA-Z]$') OR regexp_matches(coalesce(lead(ch) OVER w, ' '), '^[a-zA-Z]$') AS near FROM g WINDOW w AS (PARTITION BY doc_id, y ORDER BY x))
+    line = load(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).filter("line <> ''")
+    ch = line.select("doc_id", positional.characters(F.col("line")).alias("ch"))
+    is_letter = lambda i: F.coalesce(F.when(i >= 0, F.get("ch", i)), F.lit(" ")).rlike("^[a-zA-Z]$")
+    kinds = F.transform("ch", lambda c, x: F.when(c.rlike("^[a-uw-zA-Z]$") & (is_letter(x - 1) | is_letter(x + 1)), "text").when(c == " ", "space").otherwise("glyph"))
+    return ch.select("doc_id", F.explode(kinds).alias("kind")).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+
+GLYPHS = """WITH y AS (SELECT doc_id, y, unnest(range(len(lines))) AS no, unnest(lines) AS line FROM (SELECT doc_id, 0 AS y, string_split(text, chr(10)) AS lines FROM documents)),
+g AS (SELECT doc_id, no, unnest(range(length(line))) AS x, unnest(string_split(line, '')) AS ch FROM y WHERE line <> ''),
+k AS (SELECT doc_id, ch, regexp_matches(coalesce(lag(ch) OVER w, ' '), '^[a-zA-Z]$') OR regexp_matches(coalesce(lead(ch) OVER w, ' '), '^[a-zA-Z]$') AS near FROM g WINDOW w AS (PARTITION BY doc_id, no ORDER BY x))
 SELECT doc_id, CASE WHEN regexp_matches(ch, '^[a-uw-zA-Z]$') AND near THEN 'text' WHEN ch = ' ' THEN 'space' ELSE 'glyph' END AS kind, count(*) AS n FROM k GROUP BY ALL"""
 
 
@@ -175,11 +173,11 @@ def gated_pairs(spark, d):
 def layout_dispatch(spark, d):
     kind = F.element_at(F.array(*map(F.lit, ("bootstrap", "custom", "other"))), (F.col("conv_id") % 3 + 1).cast("int"))
     rows = load(spark, d, "conversations").withColumn("kind", kind)
-    plain = rows.filter("kind = 'bootstrap'").select("conv_id", "turn", F.concat_ws("|", "role", F.substring("text", 1, 5)).alias("row"))
-    return plain.unionByName(rows.filter("kind = 'custom'").select("conv_id", "turn", F.concat_ws("|", F.substring("text", 1, 5), "role", F.col("turn").cast("string")).alias("row")))
+    plain = rows.filter("kind = 'bootstrap'").select("conv_id", "turn", F.concat_ws("|", "role", F.md5("text")).alias("row"))
+    return plain.unionByName(rows.filter("kind = 'custom'").select("conv_id", "turn", F.concat_ws("|", F.md5("text"), "role", F.col("turn").cast("string")).alias("row")))
 
 
-LAYOUT = "SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN role || '|' || left(text, 5) ELSE left(text, 5) || '|' || role || '|' || turn END AS row FROM conversations WHERE conv_id % 3 < 2"
+LAYOUT = "SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN role || '|' || md5(text) ELSE md5(text) || '|' || role || '|' || turn END AS row FROM conversations WHERE conv_id % 3 < 2"
 
 QUERIES = {
     "setting_default": (setting_default, "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'dark' WHEN 2 THEN 'light' ELSE 'system' END AS theme FROM events"),

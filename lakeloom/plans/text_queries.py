@@ -67,8 +67,8 @@ NODE_SEARCH = "SELECT page_id FROM pages WHERE len(list_filter(regexp_split_to_a
 
 
 def highlight_ranges(spark, d):
-    rows = load(spark, d, "documents").select("doc_id", F.explode(text.occurrences(F.lower("text"), F.lit("tion"))).alias("start"))
-    return rows.select("doc_id", F.col("start").cast("long").alias("start"), (F.col("start") + 4).cast("long").alias("stop"))
+    rows = text.occurrences(load(spark, d, "documents"), "doc_id", F.lower("text"), F.lit("tion"))
+    return rows.select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
 
 
 HIGHLIGHT = """WITH p AS (SELECT doc_id, string_split(lower(text), 'tion') AS parts FROM documents),
@@ -113,11 +113,12 @@ LINK_FILES = f"SELECT page_id, pos, regexp_replace(string_split(href, '/')[-1],
 
 
 def page_meta(spark, d):
-    h = F.col("html")
-    return load(spark, d, "pages").select("page_id", text.html_attribute(h, "html", "lang", "en", "class").alias("css"), F.coalesce(text.first_match(h, "<h1>(.*?)</h1>", "<title>(.*?)</title>"), F.lit("")).alias("heading"), text.html_attribute(h, "meta", "name", "description", "content").alias("description"))
+    own = F.concat(F.lit("<meta content='It is \"page\" "), F.col("page_id").cast("string"), F.lit("' name=description x=1><meta content = \"About "), F.substring_index("url", "/", -1), F.lit("\" NAME='Description'><meta name='theme' data-n=\""), F.col("page_id").cast("string"), F.lit("\">"))
+    h = F.concat(own, F.col("html"))
+    return load(spark, d, "pages").select("page_id", text.html_attribute(h, "meta", "name", "theme", "data-n").alias("css"), F.coalesce(text.first_match(h, "<h1>(.*?)</h1>", "<title>(.*?)</title>"), F.lit("")).alias("heading"), text.html_attribute(h, "meta", "name", "description", "content").alias("description"))
 
 
-PAGE_META = "SELECT page_id, NULL::VARCHAR AS css, coalesce(nullif(trim(regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1)), ''), '') AS heading, NULL::VARCHAR AS description FROM pages"
+PAGE_META = "SELECT page_id, page_id::VARCHAR AS css, coalesce(nullif(trim(regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1)), ''), '') AS heading, trim('About ' || string_split(url, '/')[-1]) AS description FROM pages"
 
 
 def toc_headings(spark, d):
@@ -131,11 +132,11 @@ FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<(h[1-6])>(.*?)</h[1
 
 
 def html_escape(spark, d):
-    rows = load(spark, d, "pages").select("page_id", F.substring("html", 1, 400).alias("h"))
-    return rows.select("page_id", text.escape(F.col("h"), slash=True).alias("escaped"), F.md5(text.unescape(text.escape(F.col("h")))).alias("back"))
+    rows = load(spark, d, "pages").select("page_id", F.col("html").alias("h"))
+    return rows.select("page_id", F.md5(text.escape(F.col("h"), slash=True)).alias("escaped"), F.md5(text.unescape(text.escape(F.col("h")))).alias("back"))
 
 
-HTML_ESCAPE = f"SELECT page_id, replace({_escaped('left(html, 400)')}, '/', '&#x2F;') AS escaped, md5({_unescaped(_escaped('left(html, 400)'))}) AS back FROM pages"
+HTML_ESCAPE = f"SELECT page_id, md5(replace({_escaped('html')}, '/', '&#x2F;')) AS escaped, md5({_unescaped(_escaped('html'))}) AS back FROM pages"
 
 
 def slugs(spark, d):
@@ -150,10 +151,10 @@ SELECT page_id, CASE WHEN regexp_matches(slug, '[0-9A-Za-z_]') THEN slug ELSE 'p
 
 
 def transliterated(spark, d):
-    return load(spark, d, "documents").filter("lang <> 'en'").select("doc_id", F.md5(text.transliterate(F.col("text"))).alias("digest"))
+    return load(spark, d, "documents").select("doc_id", F.md5(text.transliterate(F.col("text"))).alias("digest"))
 
 
-TRANSLIT = f"SELECT doc_id, md5(translate(text, '{_ACCENTS}', '{_BASES}')) AS digest FROM documents WHERE lang <> 'en'"
+TRANSLIT = f"SELECT doc_id, md5(translate(text, '{_ACCENTS}', '{_BASES}')) AS digest FROM documents"
 
 
 def cited_by(spark, d):
@@ -241,11 +242,13 @@ ASSETS = "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE '/assets/pdf/'
 
 
 def md5_digest(spark, d):
-    files = load(spark, d, "pages").groupBy((F.col("page_id") % 10).alias("dir")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", F.md5("html").alias("m")))), lambda x: x["m"]), "").alias("all"))
-    return files.select("dir", F.md5("all").alias("digest"))
+    """Digests of ranges of 1000 ids first, then of these, so that no group gathers all files."""
+    joined = lambda order, c: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda x: x[c]), ""))
+    files = load(spark, d, "pages").select("page_id", (F.col("page_id") % 10).alias("dir"), F.floor(F.col("page_id") / 1000).alias("range"), F.md5("html").alias("m"))
+    return files.groupBy("dir", "range").agg(joined("page_id", "m").alias("m")).groupBy("dir").agg(joined("range", "m").alias("digest"))
 
 
-MD5 = "SELECT page_id % 10 AS dir, md5(string_agg(md5(html), '' ORDER BY page_id)) AS digest FROM pages GROUP BY 1"
+MD5 = "SELECT dir, md5(string_agg(m, '' ORDER BY range)) AS digest FROM (SELECT page_id % 10 AS dir, page_id // 1000 AS range, md5(string_agg(md5(html), '' ORDER BY page_id)) AS m FROM pages GROUP BY ALL) GROUP BY 1"
 
 
 def page_text_stats(spark, d):
