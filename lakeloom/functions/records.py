@@ -68,3 +68,9 @@ def published(text: Column, typed: Column) -> Column:
 def without_at(values: Column, position: Column) -> Column:
     """The array less the element at a 0-based position."""
     return F.filter(values, lambda _, i: i != position)
+
+
+def type_checks(rules: dict[str, str]) -> Column:
+    """Of each named column (name, kind, ok): its type's name, null for a missing value, and whether that matches the rule's pattern."""
+    kind = lambda n: F.when(F.col(n).isNull(), F.lit("null")).otherwise(F.typeof(F.col(n)))
+    return F.array(*(F.struct(F.lit(n).alias("name"), kind(n).alias("kind"), kind(n).rlike(p).alias("ok")) for n, p in rules.items()))

@@ -162,6 +162,12 @@ def node_contains_term(html: Column, term: str) -> Column:
     return F.exists(F.split(html, "<[^>]*>"), lambda s: F.contains(F.lower(s), F.lit(term.lower())))
 
 
+def name_place(c: Column, names: tuple[str, ...]) -> Column:
+    """The place, from 0, of the first listed name that the text begins with, whatever its case; null if none."""
+    low = F.lower(c)
+    return F.coalesce(*(F.when(F.startswith(low, F.lit(name.lower())), i) for i, name in enumerate(names)))
+
+
 def url_hash_term(url: Column) -> Column:
     """The decoded fragment of a URL, in lower case; plus signs stay."""
     return F.lower(F.url_decode(F.replace(F.regexp_extract(url, "#(.*)$", 1), F.lit("+"), F.lit("%2B"))))

@@ -46,6 +46,11 @@ def joined(result: DataFrame) -> DataFrame:
     return result.filter("side <> 'exit'")
 
 
+def bind_order(result: DataFrame, group: str, order: str = "data_order") -> DataFrame:
+    """The rows with their place, from 0, in the order of the data within each group."""
+    return result.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)
+
+
 def positional(nodes: DataFrame, data: DataFrame, group: str, order: str, value: str) -> DataFrame:
     """Joins row by row in order within each group."""
     place = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 NAMES = tuple("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
 
@@ -43,9 +46,45 @@ def post_files(spark: SparkSession, root: str) -> DataFrame:
     return parts.filter("year rlike '^[0-9]{4}$' and slug <> '' and slug <> 'index.html'")
 
 
-def rss_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of RSS files, one row each."""
-    return spark.read.format("xml").option("rowTag", "item").load(path)
+def rss_items(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Items of RSS files, one row each; a stated schema saves the pass that infers one."""
+    reader = spark.read.format("xml").option("rowTag", "item")
+    return (reader.schema(schema) if schema else reader).load(path)
+
+
+def yaml_records(rows: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, name, item, field, value) of YAML texts: named records, or named lists of records.
+
+    Read are top-level names, `field: value` lines below them (item 0), and lists whose records
+    begin with a dash (items from 1). Values are texts without their quotes; bracketed lists stay
+    as they stand; comments and empty lines are left out, and so is deeper nesting. A null text
+    gives no rows.
+    """
+    comment = r"""^((?:"[^"]*"|'[^']*'|[^"'#]|(?<=\S)#)*?)\s+#.*$"""
+    lines = rows.select(key, F.posexplode(F.split(body, "\r?\n")).alias("_at", "_raw")).filter("not trim(_raw) like '#%' and trim(_raw) <> ''")
+    line = F.rtrim(F.regexp_replace("_raw", comment, "$1"))
+    bare = lambda c: F.when(c.rlike("""^("[^"]*"|'[^']*')$"""), F.substr(c, F.lit(2), F.length(c) - 2)).otherwise(c)
+    held = lines.withColumn("_line", line).withColumns({
+        "_top": F.when(F.col("_line").rlike(r"^[^\s-].*:$"), F.regexp_replace("_line", ":$", "")),
+        "_dash": F.col("_line").rlike(r"^\s*- ").cast("int"),
+        "_pair": F.trim(F.regexp_replace("_line", r"^\s*- ", "")),
+    })
+    before = Window.partitionBy(key).orderBy("_at")
+    held = held.withColumn("_name", F.last("_top", ignorenulls=True).over(before))
+    named = Window.partitionBy(key, "_name").orderBy("_at")
+    held = held.withColumn("item", F.sum("_dash").over(named).cast("long")).filter("_top is null and _name is not null and instr(_pair, ': ') > 0")
+    value = F.trim(F.substr("_pair", F.instr("_pair", ": ") + 2))
+    return held.select(key, bare(F.col("_name")).alias("name"), "item", bare(F.substring_index("_pair", ": ", 1)).alias("field"), bare(value).alias("value"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder path that driver and executors share, below spark.checkpoint.dir; a temporary one in local mode only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp()
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def write_once(df: DataFrame, path: str) -> None:
