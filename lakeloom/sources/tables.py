@@ -56,8 +56,9 @@ def yaml_records(rows: DataFrame, key: str, body: str) -> DataFrame:
     """(key, name, item, field, value) of YAML texts: named records, or named lists of records.
 
     Read are top-level names, `field: value` lines below them (item 0), and lists whose records
-    begin with a dash (items from 1). Values are texts without their quotes; bracketed lists stay
-    as they stand; comments and empty lines are left out, and so is deeper nesting. A null text
+    begin with a dash (items from 1), whose name is null if none stands before. Values are texts
+    without their quotes; bracketed lists stay as they stand; comments, empty lines and fields
+    outside a record are left out. Deeper nesting is not told apart from its record. A null text
     gives no rows.
     """
     comment = r"""^((?:"[^"]*"|'[^']*'|[^"'#]|(?<=\S)#)*?)\s+#.*$"""
@@ -72,7 +73,7 @@ def yaml_records(rows: DataFrame, key: str, body: str) -> DataFrame:
     before = Window.partitionBy(key).orderBy("_at")
     held = held.withColumn("_name", F.last("_top", ignorenulls=True).over(before))
     named = Window.partitionBy(key, "_name").orderBy("_at")
-    held = held.withColumn("item", F.sum("_dash").over(named).cast("long")).filter("_top is null and _name is not null and instr(_pair, ': ') > 0")
+    held = held.withColumn("item", F.sum("_dash").over(named).cast("long")).filter(r"_top is null and (_name is not null or item > 0) and _line rlike '^(\\s|- )' and instr(_pair, ': ') > 0")
     value = F.trim(F.substr("_pair", F.instr("_pair", ": ") + 2))
     return held.select(key, bare(F.col("_name")).alias("name"), "item", bare(F.substring_index("_pair", ": ", 1)).alias("field"), bare(value).alias("value"))
 
@@ -81,7 +82,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder path that driver and executors share, below spark.checkpoint.dir; a temporary one in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp()
     return f"{root}/{name}-{uuid.uuid4().hex}"

@@ -39,3 +39,25 @@ def test_rendered_feed_is_whole_and_in_order(spark, tmp_path):
     assert len(lines) == 32 and lines[0].startswith("<rss") and lines[-1].endswith("</rss>")
     days = [line.split("<pubDate>")[1][5:7] for line in lines[1:-1]]
     assert days == sorted(days, reverse=True)
+
+
+def test_yaml_records(spark):
+    body = """# top
+"A b":  # named
+  url: https://x/#a
+  note: 'it: is # here'   # mark
+
+'C':
+  - name: ["x", "y"]
+    at: 1
+  - name: z
+plain: top
+D:
+  url:
+"""
+    rows = spark.createDataFrame([(1, body), (2, None), (3, ""), (4, "- at: 1\n  by: x\n- at: 2")], "id long, body string")
+    got = {(r.id, r.name, r.item, r.field): r.value for r in tables.yaml_records(rows, "id", "body").collect()}
+    want = {("A b", 0, "url"): "https://x/#a", ("A b", 0, "note"): "it: is # here", ("C", 1, "name"): '["x", "y"]', ("C", 1, "at"): "1", ("C", 2, "name"): "z"}
+    listed = {(4, None, 1, "at"): "1", (4, None, 1, "by"): "x", (4, None, 2, "at"): "2"}
+    assert got == {(1, *k): v for k, v in want.items()} | listed
+    assert tables.yaml_records(rows.limit(0), "id", "body").count() == 0

@@ -34,4 +34,18 @@ def test_debounce_closes_bursts_before_the_watermark(spark, tmp_path):
     run(stream.debounce(live, "k", "ts", "20 seconds", "1 minute"), tmp_path, "debounced")
     want = {(r.k, r.ts) for r in events.debounce(batch, "k", "ts", "id", F.expr("interval 20 seconds")).collect()}
     got = {tuple(r) for r in spark.table("debounced").collect()}
-    assert got and got <= want
+    closed = batch.agg(F.max("ts")).first()[0] - datetime.timedelta(minutes=1)  # the watermark
+    assert got == {(k, ts) for k, ts in want if ts + datetime.timedelta(seconds=20) <= closed}
+    assert 0 < len(got) < len(want)
+
+
+def test_gate_opens_once_both_sides_are_there(spark, tmp_path):
+    t0 = datetime.datetime(2024, 1, 1)
+    sides = {}
+    for name, rows in {"left": [(1, 0), (2, 0), (3, 0), (3, 5)], "right": [(1, 10), (3, 59), (2, 61), (4, 0)]}.items():
+        df = spark.createDataFrame([(k, t0 + datetime.timedelta(minutes=m)) for k, m in rows], "k long, ts timestamp")
+        df.coalesce(1).write.parquet(str(tmp_path / name))
+        sides[name] = spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
+    run(stream.gated(sides["left"], sides["right"], "k", "ts"), tmp_path, "gated")
+    got = sorted((r.k, (r.ts - t0).seconds // 60, (r._ts - t0).seconds // 60) for r in spark.table("gated").collect())
+    assert got == [(1, 0, 10), (3, 0, 59), (3, 5, 59)]
