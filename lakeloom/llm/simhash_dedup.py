@@ -4,7 +4,7 @@ Fingerprints at no more than `distance` differing bits are linked. The 64 bits a
 partitions, correlated bits together. If thresholds t_i (-1 leaves a partition out) satisfy
 sum(t_i + 1) = distance + 1, every linked pair differs in at most t_i bits of some partition i.
 The thresholds come from dynamic programming over estimated candidate counts, which are taken
-from the bit statistics of all fingerprints; m is the cheapest of a few. A partition with t_i = 0
+from the joint bit statistics of all fingerprints; m is the cheapest of a few. A partition with t_i = 0
 is probed by its value, one with t_i = 1 by the values with one bit left out, and so on.
 
 Only distinct fingerprints are probed. A bucket of up to BUCKET fingerprints is verified by exact
@@ -116,18 +116,43 @@ def correlated_partitions(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     return out
 
 
-def _costs(n: int, p: np.ndarray, part: list[int], most: int) -> list[float]:
-    """Estimated cost of thresholds -1..most: signatures of all fingerprints plus candidate pairs."""
-    near = np.zeros(most + 1)
-    near[0] = 1.0
-    for b in part:
-        q = 2 * p[b] * (1 - p[b])
-        near[1:] = near[1:] * (1 - q) + near[:-1] * q
-        near[0] *= 1 - q
+def chain(n: int, both: np.ndarray, part: list[int]) -> tuple[list[int], np.ndarray]:
+    """A partition's bits, each after the one it depends on most, and how often two bits of two random fingerprints both differ."""
+    p = np.diag(both) / n
+    p11 = both / n
+    p10, p01 = p[:, None] - p11, p[None, :] - p11
+    differ = 2 * (p11 * (1 - p11 - p10 - p01) + p10 * p01)
+    alone = np.diag(differ)
+    excess = np.abs(differ - np.outer(alone, alone))
+    left, order = set(part[1:]), [part[0]]
+    while left:
+        b = max(left, key=lambda c: (excess[order[-1], c], -c))
+        order.append(b)
+        left.remove(b)
+    return order, differ
+
+
+def _costs(n: int, both: np.ndarray, part: list[int], most: int) -> list[float]:
+    """Estimated cost of thresholds -1..most: signatures of all fingerprints plus candidate pairs.
+
+    The bits of a partition depend on each other, so the number of differing bits of a random
+    pair follows a Markov chain over them, whose steps are the joint statistics of two bits.
+    """
+    order, differ = chain(n, both, part)
+    alone = np.diag(differ)
+    near = np.zeros((2, most + 2))  # [whether the last bit differs, differing bits so far]
+    near[0, 0], near[1, 1] = 1 - alone[order[0]], alone[order[0]]
+    for a, b in zip(order, order[1:], strict=False):
+        joint = differ[a, b]
+        after = np.array([[1 - alone[a] - alone[b] + joint, alone[b] - joint], [alone[a] - joint, joint]]).clip(0)
+        after = after / np.maximum(after.sum(axis=1, keepdims=True), 1e-12)
+        same, other = (after[:, [k]] * near for k in (0, 1))
+        near = np.stack([same.sum(axis=0), np.append(0.0, other.sum(axis=0)[:-1])])
+    pairs = n * n / 2 * np.cumsum(near.sum(axis=0))
     out, signatures = [0.0], 1.0
     for t in range(most + 1):
         signatures = signatures * (len(part) - t + 1) / t if t else 1.0
-        out.append(n * signatures + n * n / 2 * near[: t + 1].sum())
+        out.append(n * signatures + pairs[t])
     return out
 
 
@@ -150,11 +175,10 @@ def plan(nodes: DataFrame, distance: int, counts: tuple[int, ...] = (2, 3, 4)) -
     n, both = bit_statistics(nodes)
     if not n:
         return []
-    p = np.diag(both) / n
     options = []
     for m in sorted({*counts, distance + 1}):
         parts = correlated_partitions(n, both, m)
-        cost, ts = allocate([_costs(n, p, part, min(distance, len(part))) for part in parts], distance + 1)
+        cost, ts = allocate([_costs(n, both, part, min(distance, len(part))) for part in parts], distance + 1)
         options.append((cost, m, parts, ts))
     _, _, parts, ts = min(options, key=lambda o: o[:2])
     masks = []

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -75,3 +76,22 @@ def test_empty_and_allocation(spark):
     assert S.allocate([[0, 1, 9], [0, 5, 6], [0, 2, 9]], 3) == (8.0, [0, 0, 0]) or S.allocate([[0, 1, 9], [0, 5, 6], [0, 2, 9]], 3)[0] <= 8
     same = spark.createDataFrame([(3, "a b"), (3, "a b"), (None, "a b")], "doc_id long, text string")
     assert S.simhash_dedup(same).agg(F.min("component_id"), F.count("*")).first() == (3, 3)
+
+
+def test_candidate_counts_know_that_bits_depend_on_each_other(spark):
+    rng = np.random.default_rng(8)
+    seeds = rng.integers(0, 2, (400, 16))
+    x = np.repeat(seeds, 4, axis=1)  # bits come in fours that mostly agree
+    x = np.where(rng.random(x.shape) < 0.05, 1 - x, x)
+    fps = np.packbits(x, axis=1, bitorder="little").view(np.uint64).ravel()
+    n, both = S.bit_statistics(spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long"))
+    assert n == 400 and (both == x.T @ x).all()
+    part = S.correlated_partitions(n, both, 4)[0]
+    at = x[:, part]
+    apart = (at[:, None, :] != at[None, :, :]).sum(axis=2)[np.triu_indices(n, 1)]
+    alone = 1 - 2 * x.mean(axis=0)[part] * (1 - x.mean(axis=0)[part])
+    costs = S._costs(n, both, part, 1)
+    for t, signatures in ((0, 1), (1, 16)):
+        counted, guessed = (apart <= t).sum(), costs[t + 1] - n * signatures
+        assert counted / 3 < guessed < counted * 3  # a chain knows neighbouring bits only
+    assert n * n / 2 * alone.prod() < (apart == 0).sum() / 10  # what independent bits would say
