@@ -1,8 +1,12 @@
+import math
 import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from lakeloom.llm import _subword as U
 from lakeloom.llm.language_id import language
 from lakeloom.llm.quality_classifier import keep_good, quality
 
@@ -70,3 +74,32 @@ def test_one_label_only(spark, label):
     labels = spark.createDataFrame([(i, label) for i in range(20)], "doc_id long, quality int")
     docs = spark.createDataFrame([(i, "a b") for i in range(20)], "doc_id long, text string")
     assert quality(docs, labels).filter("score = 1").count() == 20
+
+
+@pytest.mark.parametrize("names", [[0, 1], ["de", "en", "fr"]])
+def test_scores_match_a_plain_loop(names):
+    rng = random.Random(6)
+    letters = ["a", "b", "é", "漢", " ", " ", "\n", "!"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 3, 5, 60, 900]))) for _ in range(80)]
+    texts += [None, "", "a", "a a", "word " * 150_000, "x" * 600_000]  # longer than a piece
+    r = np.random.default_rng(2)
+    model = U.SubwordModel(names, r.normal(size=(U.BUCKETS, len(names))).astype(np.float32), r.normal(size=len(names)), 1.7, r.normal(size=len(names)))
+    got = model.probabilities(pa.array(texts, pa.string()))
+    for text, row in zip(texts, got, strict=True):
+        ids, shares = U.bag(text)
+        z = [1.7 * (sum(float(w) * float(model.scores[i, k]) for i, w in zip(ids.tolist(), shares.tolist(), strict=True)) + model.bias[k]) + model.shift[k] for k in range(len(names))]
+        e = [math.exp(x - max(z)) for x in z]
+        assert np.allclose(row, [x / sum(e) for x in e], atol=1e-4)
+
+
+def test_features_of_a_text_by_hand():
+    text = "né né xy \n xy"
+    b, words = text.encode(), text.split()
+    mixed = lambda gram: ((int.from_bytes(gram, "big") & 0xFFFFFFFF) * int(U._MIX) & 0xFFFFFFFF) >> (32 - U.BITS)
+    want = sorted([mixed(b[i : i + n]) + ((n - 2) << U.BITS) for n in (3, 4) for i in range(len(b) - n + 1)] + [3 << U.BITS] * sum(x == y for x, y in zip(words, words[1:], strict=False)))
+    buf = np.frombuffer(b, np.uint8)
+    (own, _), *rest = U.families(buf, np.array([0, len(b)]))
+    assert sorted(np.concatenate([f for f, _ in rest]).tolist()) == want
+    assert [own[i] == own[j] for i in range(4) for j in range(i)] == [words[i] == words[j] for i in range(4) for j in range(i)]
+    two = list(U.families(np.frombuffer(b + b, np.uint8), np.array([0, len(b), 2 * len(b)])))
+    assert all((np.diff(bounds) == np.diff(bounds)[0]).all() for _, bounds in two)
