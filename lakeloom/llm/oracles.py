@@ -37,3 +37,39 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
 FROM norm WINDOW same AS (PARTITION BY t)
 """
+
+
+def license_sql(templates: list[tuple[str, bool, list[str]]], k: int, drift: int, cover: float) -> str:
+    """The license scan for templates given as (label, base phrase or not, words)."""
+    rows = ", ".join(f"({n}, '{label}', {str(base).lower()}, {words!r})" for n, (label, base, words) in enumerate(templates))
+    return rf"""
+WITH t AS (SELECT * FROM (VALUES {rows}) v(template, label, base, w)),
+tg AS (SELECT template, unnest(range(len(w) - {k - 1})) AS at, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS g FROM t),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+dg AS (SELECT doc_id, unnest(range(len(w) - {k - 1})) AS place, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS g FROM d WHERE len(w) >= {k}),
+one AS (SELECT doc_id, template, place - at AS diagonal, list(at) AS ats FROM dg JOIN tg USING (g) GROUP BY ALL),
+step AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {drift} THEN 0 ELSE 1 END AS new FROM one),
+grouped AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS grp FROM step),
+word AS (SELECT doc_id, template, grp, count(DISTINCT at + j) AS covered FROM (SELECT doc_id, template, grp, unnest(ats) AS at FROM grouped), range({k}) r(j) GROUP BY ALL),
+share AS (SELECT doc_id, label, covered / len(t.w) AS share FROM word JOIN t USING (template)),
+place AS (SELECT doc_id, label, diagonal FROM one JOIN t USING (template) WHERE base AND len(ats) = len(t.w) - {k - 1}),
+b AS (SELECT doc_id, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM place GROUP BY 1),
+m AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (share >= {cover}) AS labels, max(share) AS score FROM share GROUP BY 1)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
+def clustering_sql(dimensions: int, clusters: int, rounds: int) -> str:
+    """K-means over integer vectors, one round after the other."""
+    far = "list_sum(list_transform(list_zip(v.v, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    nearest = lambda r: f"a{r} AS MATERIALIZED (SELECT id, vec_id, v, j, d FROM (SELECT v.id, v.vec_id, v.v, c.j, {far} AS d, row_number() OVER (PARTITION BY v.id ORDER BY {far}, c.j) AS n FROM v CROSS JOIN c{r} c) WHERE n = 1)"
+    moved = lambda r: f"m{r} AS (SELECT j, list(m ORDER BY i) AS c FROM (SELECT j, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS m FROM (SELECT j, unnest(range({dimensions})) AS i, unnest(v) AS x FROM a{r}) GROUP BY ALL) GROUP BY j), c{r + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.c, c.c) AS c FROM c{r} c LEFT JOIN m{r} m ON m.j = c.j)"
+    steps = ", ".join(f"{nearest(r)}, {moved(r)}" for r in range(rounds))
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dimensions}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS j, v AS c FROM v QUALIFY j < {clusters}),
+{steps}, {nearest(rounds)}
+SELECT a.vec_id, a.j::INT AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.j))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.j = a.j
+"""

@@ -75,6 +75,24 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroid_clustering import cluster
+
+    return cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle_manifest import manifest
+
+    return manifest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -87,13 +105,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_html_extraction": op10_html_extraction,
+        "op11_centroid_clustering": op11_centroid_clustering,
+        "op12_license_scan": op12_license_scan,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import license_scan as scan
+
+    templates = [(label, base, scan.template_words(text)) for label, base, text in scan.TEMPLATES]
     return {
         "op1_substring_dedup": oracles.SUBSTRING,
         "op7_decontamination": oracles.DECONTAMINATION,
         "op8_exact_dedup": oracles.EXACT,
         "op10_html_extraction": oracles.HTML,
+        "op11_centroid_clustering": oracles.clustering_sql(64, 16, 3),
+        "op12_license_scan": oracles.license_sql(templates, scan.K, scan.DRIFT, scan.COVER),
+        "op13_merkle_manifest": oracles.MERKLE,
     }
