@@ -44,13 +44,13 @@ def license_sql(templates: list[tuple[str, bool, list[str]]], k: int, drift: int
     rows = ", ".join(f"({n}, '{label}', {str(base).lower()}, {words!r})" for n, (label, base, words) in enumerate(templates))
     return rf"""
 WITH t AS (SELECT * FROM (VALUES {rows}) v(template, label, base, w)),
-tg AS (SELECT template, unnest(range(len(w) - {k - 1})) AS at, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS g FROM t),
+tg AS (SELECT template, unnest(range(len(w) - {k - 1})) AS tp, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS g FROM t),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 dg AS (SELECT doc_id, unnest(range(len(w) - {k - 1})) AS place, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS g FROM d WHERE len(w) >= {k}),
-one AS (SELECT doc_id, template, place - at AS diagonal, list(at) AS ats FROM dg JOIN tg USING (g) GROUP BY ALL),
+one AS (SELECT doc_id, template, place - tp AS diagonal, list(tp) AS ats FROM dg JOIN tg USING (g) GROUP BY ALL),
 step AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {drift} THEN 0 ELSE 1 END AS new FROM one),
 grouped AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS grp FROM step),
-word AS (SELECT doc_id, template, grp, count(DISTINCT at + j) AS covered FROM (SELECT doc_id, template, grp, unnest(ats) AS at FROM grouped), range({k}) r(j) GROUP BY ALL),
+word AS (SELECT doc_id, template, grp, count(DISTINCT tp + j) AS covered FROM (SELECT doc_id, template, grp, unnest(ats) AS tp FROM grouped), range({k}) r(j) GROUP BY ALL),
 share AS (SELECT doc_id, label, covered / len(t.w) AS share FROM word JOIN t USING (template)),
 place AS (SELECT doc_id, label, diagonal FROM one JOIN t USING (template) WHERE base AND len(ats) = len(t.w) - {k - 1}),
 b AS (SELECT doc_id, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM place GROUP BY 1),
@@ -73,3 +73,23 @@ c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) -
 SELECT a.vec_id, a.j::INT AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.j))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
 FROM a{rounds} a JOIN c{rounds} c ON c.j = a.j
 """
+
+
+#: crc32 of a decimal number is folded bit by bit; levels of a tree are grouped until one node is left.
+MERKLE = r"""
+WITH RECURSIVE
+d AS (SELECT doc_id, source, list_reduce(list_prepend(4294967295::BIGINT, range(8 * length(doc_id::VARCHAR))), lambda c, i: xor(CASE WHEN i % 8 = 0 THEN xor(c, ord(substr(doc_id::VARCHAR, (i // 8 + 1)::INT, 1))) ELSE c END >> 1, CASE WHEN (CASE WHEN i % 8 = 0 THEN xor(c, ord(substr(doc_id::VARCHAR, (i // 8 + 1)::INT, 1))) ELSE c END) % 2 = 1 THEN 3988292384 ELSE 0 END)) AS crc,
+  concat(strlen(doc_id::VARCHAR) || ':' || doc_id, coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head, text FROM documents),
+l AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, CASE WHEN xor(crc, 4294967295) % 5 = 0 THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS changed,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+t AS (SELECT source, 0 AS lvl, pos, leaf AS h, n FROM l UNION ALL SELECT source, lvl + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16 FROM t WHERE n > 1 GROUP BY source, lvl, n, pos // 16),
+s AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, pos, subroot AS h, n FROM s UNION ALL SELECT lvl + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16 FROM u WHERE n > 1 GROUP BY lvl, n, pos // 16),
+sides AS (SELECT source, lvl, pos, n, coalesce(string_agg(h, '') OVER (PARTITION BY source, lvl, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, coalesce(string_agg(h, '') OVER (PARTITION BY source, lvl, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM t),
+tops AS (SELECT lvl, pos, n, coalesce(string_agg(h, '') OVER (PARTITION BY lvl, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, coalesce(string_agg(h, '') OVER (PARTITION BY lvl, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM u),
+f AS (SELECT doc_id, source, pos, 0 AS lvl, coalesce(changed, leaf) AS h, '' AS proof FROM l
+  UNION ALL SELECT f.doc_id, f.source, f.pos // 16, f.lvl + 1, sha256(a || f.h || b), f.proof || a || b FROM f JOIN sides x ON x.source IS NOT DISTINCT FROM f.source AND x.lvl = f.lvl AND x.pos = f.pos AND x.n > 1),
+g AS (SELECT f.doc_id, s.subroot, s.pos, 0 AS lvl, f.h, f.proof FROM f JOIN t ON t.source IS NOT DISTINCT FROM f.source AND t.lvl = f.lvl AND t.n = 1 JOIN s ON s.source IS NOT DISTINCT FROM f.source
+  UNION ALL SELECT g.doc_id, g.subroot, g.pos // 16, g.lvl + 1, sha256(a || g.h || b), g.proof || a || b FROM g JOIN tops x ON x.lvl = g.lvl AND x.pos = g.pos AND x.n > 1)
+SELECT l.doc_id, l.leaf, g.subroot, u.h AS root, sha256(g.proof) AS proof_sha256, g.h AS folded_root, g.h = u.h AS verified FROM l JOIN g ON g.doc_id = l.doc_id JOIN u ON u.n = 1 AND u.lvl = g.lvl
+"""

@@ -78,7 +78,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .centroid_clustering import cluster
 
-    return cluster(_table(spark, sf_dir, "embeddings"))
+    return cluster(_table(spark, sf_dir, "embeddings")).drop("scans")
 
 
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
