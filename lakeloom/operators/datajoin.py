@@ -9,6 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .positional import global_ordinal
+
+
+#: Equal rows that are written out again from one array.
+_COPIES = 10_000
+
 
 def _text_key(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("null"))
@@ -17,26 +23,44 @@ def _text_key(c: Column) -> Column:
 def _split(df: DataFrame, group: str | None, key: str, order: str, value: str) -> tuple[DataFrame, DataFrame]:
     """(first rows of each key, the others), as (group, _key, _order, _value).
 
-    The first is found by partial aggregation, so a key that very many rows share, or lack, makes
-    one row for each task before the shuffle. Places (`order`) are distinct within a group.
+    The first is the least by order, null first, then value; it is found by partial aggregation, so
+    a key that very many rows share, or lack, makes one row for each task before the shuffle. Equal
+    rows are counted, and all but one of those that come first stay with the others.
     """
     on = ([group] if group else []) + ["_key"]
     rows = df.select(*([group] if group else []), _text_key(F.col(key)).alias("_key"), F.col(order).alias("_order"), F.col(value).alias("_value"))
-    first = rows.groupBy(*on).agg(F.min(F.struct("_order", "_value")).alias("_f")).select(*on, "_f.*")
-    rest = rows.join(first.select(*on, F.col("_order").alias("_least")), on).filter("_order <> _least").drop("_least")
-    return first, rest
+    each = rows.groupBy(*on, "_order", "_value").agg(F.count("*").alias("_n"))
+    first = each.groupBy(*on).agg(F.min(F.struct("_order", "_value")).alias("_f"))
+    least = first.select(*(F.col(c).alias(f"_l{i}") for i, c in enumerate(on)), F.col("_f").alias("_lf"))
+    same = F.lit(True)
+    for i, c in enumerate(on):
+        same &= F.col(c).eqNullSafe(F.col(f"_l{i}"))
+    surplus = F.col("_n") - F.when(F.struct("_order", "_value").eqNullSafe(F.col("_lf")), 1).otherwise(0)
+    rest = each.join(least, same).select(*on, "_order", "_value", surplus.alias("_n")).filter("_n > 0")
+    rest = rest.withColumn("_part", F.explode(F.sequence(F.lit(0), F.call_function("div", F.col("_n") - 1, F.lit(_COPIES)))))
+    copies = F.least(F.lit(_COPIES), F.col("_n") - F.col("_part") * _COPIES).cast("int")
+    return first.select(*on, "_f.*"), rest.withColumn("_one", F.explode(F.array_repeat(F.lit(True), copies))).drop("_n", "_part", "_one")
 
 
 def keyed(nodes: DataFrame, data: DataFrame, key: str, order: str, value: str, group: str | None = None) -> DataFrame:
-    """(group, key, side, node_value, data_value, node_order, data_order), side update, enter or exit."""
+    """(group, key, side, node_value, data_value, node_order, data_order), side update, enter or exit.
+
+    Groups compare null-safely; every row of both inputs is in the result once, or in one pair.
+    """
     on = ([group] if group else []) + ["_key"]
     named = lambda df, name: df.withColumnsRenamed({"_order": f"{name}_order", "_value": f"{name}_value"})
     (n, more_n), (d, more_d) = (tuple(named(x, name) for x in _split(df, group, key, order, value)) for df, name in ((nodes, "node"), (data, "data")))
-    both = n.join(d, on, "full_outer")
-    side = F.when(F.col("node_order").isNotNull() & F.col("data_order").isNotNull(), "update").when(F.col("data_order").isNotNull(), "enter").otherwise("exit")
-    rest = more_n.withColumn("side", F.lit("exit")), more_d.withColumn("side", F.lit("enter"))
-    out = both.withColumn("side", side)
-    for r in rest:
+    n = n.withColumn("_in_nodes", F.lit(True))
+    d = d.withColumnsRenamed({c: f"_d_{c}" for c in on}).withColumn("_in_data", F.lit(True))
+    same = F.lit(True)
+    for c in on:
+        same &= F.col(c).eqNullSafe(F.col(f"_d_{c}"))
+    side = F.when(F.col("_in_nodes") & F.col("_in_data"), "update").when(F.col("_in_data"), "enter").otherwise("exit")
+    both = n.join(d, same, "full_outer").withColumn("side", side)
+    for c in on:
+        both = both.withColumn(c, F.when(F.col("_in_nodes"), F.col(c)).otherwise(F.col(f"_d_{c}")))
+    out = both.drop("_in_nodes", "_in_data", *(f"_d_{c}" for c in on))
+    for r in (more_n.withColumn("side", F.lit("exit")), more_d.withColumn("side", F.lit("enter"))):
         out = out.unionByName(r, allowMissingColumns=True)
     return out.withColumnRenamed("_key", "key")
 
@@ -60,6 +84,13 @@ def positional(nodes: DataFrame, data: DataFrame, group: str, order: str, value:
     return n.join(d, [group, "pos"], "full_outer").select(group, "pos", "node_value", "data_value", side.alias("side"))
 
 
+def zipped(nodes: DataFrame, data: DataFrame, order: list[str], value: str) -> DataFrame:
+    """(pos, node_value, data_value, side): row by row in the order of both whole tables, which are numbered in ranges."""
+    n, d = (global_ordinal(df.select(*order, value), order[0], *map(F.col, order[1:]), name="pos").select("pos", F.col(value).alias(f"{side}_value"), F.lit(True).alias(f"_{side}")) for df, side in ((nodes, "node"), (data, "data")))
+    side = F.when(F.col("_node") & F.col("_data"), "update").when(F.col("_data"), "enter").otherwise("exit")
+    return n.join(d, "pos", "full_outer").select("pos", "node_value", "data_value", side.alias("side"))
+
+
 def merge(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Slot by slot the first value, else the second."""
     right = b.select(*keys, F.col(value).alias("_other"))

@@ -44,6 +44,35 @@ def throttle(events: DataFrame, key: str, ts: str, seconds: float) -> DataFrame:
     return rows.mapInArrow(run, f"`{key}` {kind}, t long").select(key, F.timestamp_micros("t").alias(ts))
 
 
+def debounce_changed(events: DataFrame, key: str, ts: str, tie: str, gap: Column, value: str, least: float) -> DataFrame:
+    """Last events of bursts whose value differs by more than `least` from the last one let through; the key's first one passes.
+
+    The state, one value, is carried along a key from batch to batch. It starts afresh where two
+    values in a row differ by more than twice `least`: the one let through last is within `least` of
+    the one before, so the second passes whatever it was. There a key's events are cut and dealt
+    out. A null value never passes.
+    """
+    ends = debounce(events, key, ts, tie, gap).filter(F.col(value).isNotNull())
+    w = Window.partitionBy(key).orderBy(ts, tie)
+    cut = F.coalesce(F.abs(F.col(value) - F.lag(value).over(w)) > 2 * least, F.lit(True))
+    rows = ends.withColumn("_cut", cut.cast("int")).withColumn("_run", F.sum("_cut").over(w)).drop("_cut")
+    names = [c for c in rows.columns if c != "_run"]
+    rows = rows.repartition(key, "_run").sortWithinPartitions(key, "_run", ts, tie).select(*names, "_run")
+    k, v, r = names.index(key), names.index(value), len(names)
+
+    def run(batches):
+        place, last = None, None
+        for batch in batches:
+            keep = []
+            for i, now in enumerate(zip(batch.column(k).to_pylist(), batch.column(r).to_pylist(), batch.column(v).to_pylist(), strict=True)):
+                if now[:2] != place or abs(now[2] - last) > least:
+                    place, last = now[:2], now[2]
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64())).select(names)
+
+    return rows.mapInArrow(run, events.select(*names).schema)
+
+
 def changes(events: DataFrame, key: str, ts: str, tie: str, value: Column) -> DataFrame:
     """Events whose value differs from the key's event before, and the first ones."""
     w = Window.partitionBy(key).orderBy(ts, tie)

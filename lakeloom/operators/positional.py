@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
+
 #: Rows of a range that a global order is dealt into, and ranges at most.
 ROWS = 200_000
 MOST_RANGES = 4096
@@ -23,18 +25,24 @@ def value_ranges(df: DataFrame, number: Column, ranges: int | None = None) -> tu
 
 
 def global_ordinal(df: DataFrame, lead: str, *ties: Column, name: str = "ordinal", ranges: int | None = None) -> DataFrame:
-    """0-based position in the order of a numeric or time column and ties, without one global task.
+    """0-based position in the order of a column and ties, nulls first, without one global task.
 
-    Rows are dealt into value ranges; each is numbered inside and shifted by the sizes of those
-    before. Rows of one value stay in one range.
+    Rows are dealt into ranges of (lead, ties) together, so one value that very many rows share is
+    spread by its ties, and rows that are equal in all by a random number. Ranges are cut by
+    sampling, and a second sample may cut them elsewhere; so the dealt rows are written to the
+    shared folder once, numbered in their range, and shifted by the sizes of the ranges before.
     """
-    number = F.col(lead).cast("double") if dict(df.dtypes)[lead] not in ("timestamp", "timestamp_ntz", "date") else F.unix_micros(F.col(lead).cast("timestamp")).cast("double")
-    part, _ = value_ranges(df, number, ranges)
-    dealt = df.withColumn("_part", part)
-    sizes = dealt.groupBy("_part").count()  # a row for each range
-    shift = sizes.withColumn("_shift", F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(F.col(lead), *ties)) - 1
-    return dealt.withColumn("_place", place).join(F.broadcast(shift), "_part").withColumn(name, (F.col("_place") + F.coalesce("_shift", F.lit(0))).cast("long")).drop("_part", "_place", "_shift", "count")
+    spark = df.sparkSession
+    n = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = [F.col(lead), *ties]
+    dealt = df.withColumn("_salt", F.rand(7)).repartitionByRange(n, *order, F.col("_salt")).sortWithinPartitions(*order).drop("_salt")
+    number = F.monotonically_increasing_id()  # the range in the upper bits, the place in it in the lower 33
+    path = shared_folder(spark, "ordinals")
+    dealt.withColumns({"_part": F.shiftright(number, 33), "_place": number.bitwiseAND((1 << 33) - 1)}).write.parquet(path)
+    held = spark.read.parquet(path)
+    before = F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    shift = held.groupBy("_part").count().select("_part", before.alias("_shift"))  # a row for each range
+    return held.join(F.broadcast(shift), "_part").withColumn(name, F.col("_place") + F.coalesce("_shift", F.lit(0))).drop("_part", "_place", "_shift")
 
 
 def neighbour(df: DataFrame, group: str, order: str, value: str, step: int = 1, cycle: bool = True) -> Column:

@@ -334,18 +334,24 @@ len(list_distinct(flatten(list_transform(a, lambda x: string_split(x, '')))))::B
 
 
 def _deep(brace, more):
-    """Braces as deep as a third of the key, and one."""
-    return F.repeat(brace, (F.floor(F.col("n_nationkey") / 3) + 1 + more).cast("int"))
+    """Braces as deep as a third of the size, and one."""
+    return F.repeat(brace, (F.floor(F.col("p_size") / 3) + 1 + more).cast("int"))
 
 
 def bibtex_entries(spark, d):
-    bib = F.concat(F.lit("% note\n@article{key"), F.col("n_nationkey").cast("string"), F.lit(",\n title = {The "), _deep(F.lit("{"), 0), F.lit("Big"), _deep(F.lit("}"), 0), F.lit(" "), F.col("n_name"), F.lit("},\n year = 2020, Author = \"Doe, J\", year = "), (F.col("n_nationkey") + 1990).cast("string"), F.lit("}\n@comment{x}\n@book{b"), F.col("n_regionkey").cast("string"), F.lit(",title={T}}"))
-    found = bibliography.tags(bibliography.entries(load(spark, d, "nation").select("n_nationkey", bib.alias("bib")), "n_nationkey", "bib"), "n_nationkey")
-    return found.select("n_nationkey", "entry_type", "citation_key", *(F.element_at("tags", F.lit(k)).alias(k) for k in ("title", "year", "author")))
-
-
-BIBTEX = """SELECT n_nationkey, 'article' AS entry_type, 'key' || n_nationkey AS citation_key, 'The ' || repeat('{', (n_nationkey // 3 + 1)::INT) || 'Big' || repeat('}', (n_nationkey // 3 + 1)::INT) || ' ' || n_name AS title, (n_nationkey + 1990)::VARCHAR AS year, 'Doe, J' AS author FROM nation
-UNION ALL SELECT n_nationkey, 'book', 'b' || n_regionkey, 'T', NULL, NULL FROM nation"""
+    """Entries with nested braces, escapes, braces inside quotes, joined pieces and comments, from the parts."""
+    name, n = F.col("p_name"), F.col("p_partkey").cast("string")
+    bib = F.concat(
+        F.lit("text {of} no entry\n@article{key"), n, F.lit(",\n title = {The "), _deep(F.lit("{"), 0), F.lit("Big"), _deep(F.lit("}"), 0), F.lit(" "), name, F.lit("},\n note = {brace \\} "), n, F.lit("},  % note, year = 1\n"),
+        F.lit(' abstract = "open } '), F.col("p_brand"), F.lit(' {\\"o}",\n month = JAN # "~'), F.col("p_size").cast("string"), F.lit('" # {, } # mon,\n year = 2020, Author = "Doe,\n  J", year = '), (F.col("p_size") + 1990).cast("string"), F.lit(",\n}\n@comment{x {y} @book{no, a = {b}}}\n@book{b"), n, F.lit(",title={"), F.col("p_type"), F.lit("}}\n@misc{broken, title = {"), name, F.lit(" }, year 5}\n@misc{last"), n, F.lit(", t = {}}"),
+    )
+    found = bibliography.entries(load(spark, d, "part").select("p_partkey", "p_size", bib.alias("bib")), "p_partkey", "bib")
+    return found.select("p_partkey", F.col("ord").cast("long").alias("ord"), "entry_type", "citation_key", F.array_join(F.transform(F.array_sort(F.map_entries("tags")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("tags"))
+
+
+BIBTEX = r"""WITH b AS (SELECT *, repeat('{', p_size // 3 + 1) AS o, repeat('}', p_size // 3 + 1) AS c FROM part)
+SELECT p_partkey, 0 AS ord, 'article' AS entry_type, 'key' || p_partkey AS citation_key, concat('abstract=open } ', p_brand, ' {\"o};author=Doe, J;month=jan~', p_size, ', mon;note=brace \} ', p_partkey, ';title=The ', o, 'Big', c, ' ', p_name, ';year=', p_size + 1990) AS tags FROM b
+UNION ALL SELECT p_partkey, 1, 'book', 'b' || p_partkey, 'title=' || p_type FROM b UNION ALL SELECT p_partkey, 2, 'misc', 'last' || p_partkey, 't=' FROM b"""
 
 QUERIES = {
     **{f"data_join_{s}": (_data_join(s), DATA_JOIN[s]) for s in ("update", "enter", "exit")},

@@ -267,17 +267,18 @@ def num_format_si(spark, d):
     return load(spark, d, "part").select("p_partkey", numfmt.format_number(F.pow(F.col("p_partkey").cast("double"), F.lit(3)) / 1000, ".3s").alias("si"), numfmt.format_number(F.lit(1.5) / (F.col("p_partkey") + 1), ".2~s").alias("small"))
 
 
-def _digits_sql(x, n, e):
-    """Of x the first n digits (as a number up to 10 ** n) at the power of ten e."""
-    return f"floor(({x}) / pow(10::DOUBLE, {e} - {n - 1}) + 0.5)"
+def _digits_sql(x, n):
+    """The first n digits of x as a number up to 10 ** n, rounded by the next one; 21 digits of a double tell on which side of a half it is."""
+    digits = f"replace(split_part(printf('%.20e', {x}), 'e', 1), '.', '')"
+    return f"(left({digits}, {n})::BIGINT + (substr({digits}, {n + 1}, 1) >= '5')::INT)"
 
 
 NUM_FORMAT_SI = f"""WITH t AS (SELECT p_partkey, pow(p_partkey::DOUBLE, 3) / 1000 AS x, 1.5::DOUBLE / (p_partkey + 1) AS y FROM part),
-u AS (SELECT *, CASE WHEN x > 0 THEN floor(log10(x) + 1e-12)::INT ELSE 0 END AS e, floor(log10(y) + 1e-12)::INT AS f FROM t),
-v AS (SELECT p_partkey, CASE WHEN {_digits_sql('x', 3, 'e')} >= 1000 THEN e + 1 ELSE e END AS e, CASE WHEN {_digits_sql('x', 3, 'e')} >= 1000 THEN 100 ELSE {_digits_sql('x', 3, 'e')} END AS d, CASE WHEN {_digits_sql('y', 2, 'f')} >= 100 THEN f + 1 ELSE f END AS f, CASE WHEN {_digits_sql('y', 2, 'f')} >= 100 THEN 10 ELSE {_digits_sql('y', 2, 'f')} END AS c FROM u),
+u AS (SELECT *, split_part(printf('%.20e', x), 'e', 2)::INT AS e, split_part(printf('%.20e', y), 'e', 2)::INT AS f, {_digits_sql('x', 3)} AS d, {_digits_sql('y', 2)} AS c FROM t),
+v AS (SELECT p_partkey, CASE WHEN d >= 1000 THEN e + 1 ELSE e END AS e, CASE WHEN d >= 1000 THEN 100 ELSE d END AS d, CASE WHEN c >= 100 THEN f + 1 ELSE f END AS f, CASE WHEN c >= 100 THEN 10 ELSE c END AS c FROM u),
 w AS (SELECT *, floor(e / 3.0)::INT AS g, floor(f / 3.0)::INT AS h FROM v)
-SELECT p_partkey, CASE e - g * 3 WHEN 0 THEN printf('%.2f', d / 100) WHEN 1 THEN printf('%.1f', d / 10) ELSE printf('%.0f', d) END || ['m', '', 'k', 'M', 'G', 'T'][g + 2] AS si,
-CASE f - h * 3 WHEN 0 THEN regexp_replace(printf('%.1f', c / 10), '[.]0$', '') WHEN 1 THEN printf('%.0f', c) ELSE printf('%.0f', c * 10) END || ['n', 'µ', 'm', ''][h + 4] AS small FROM w"""
+SELECT p_partkey, CASE e - g * 3 WHEN 0 THEN printf('%.2f', d / 100) WHEN 1 THEN printf('%.1f', d / 10) ELSE d::VARCHAR END || ['m', '', 'k', 'M', 'G', 'T'][g + 2] AS si,
+CASE f - h * 3 WHEN 0 THEN regexp_replace(printf('%.1f', c / 10), '[.]0$', '') WHEN 1 THEN c::VARCHAR ELSE (c * 10)::VARCHAR END || ['n', 'µ', 'm', ''][h + 4] AS small FROM w"""
 
 _TYPES = {"general": ".4g", "rounded": ".2r", "share": ".2p", "power": ".3e", "plain": "", "number": ".6n"}
 
@@ -287,6 +288,39 @@ def num_format_types(spark, d):
     return load(spark, d, "customer").select("c_custkey", *(numfmt.format_number(x, s).alias(n) for n, s in _TYPES.items()))
 
 
+def _eighths(x, n, name):
+    """Columns {name}d, {name}e: the first n digits of x / 8 (x a whole number) as a whole number, halves up, and its power of ten."""
+    e = f"(length((({x}) // 8)::VARCHAR) - 1)"
+    low = f"CASE WHEN ({x}) >= 8 THEN {e} WHEN ({x}) * 10 >= 8 THEN -1 ELSE -2 END"
+    raw = f"CASE WHEN {n - 1} >= ({low}) THEN (2 * ({x}) * (10::HUGEINT ** ({n - 1} - ({low})))::HUGEINT + 8) // 16 ELSE (2 * ({x}) + 8 * (10::HUGEINT ** (({low}) - {n - 1}))::HUGEINT) // (16 * (10::HUGEINT ** (({low}) - {n - 1}))::HUGEINT) END"
+    return f"CASE WHEN ({raw}) = {10**n} THEN {10 ** (n - 1)} ELSE ({raw}) END AS {name}d, CASE WHEN ({x}) = 0 THEN 0 WHEN ({raw}) = {10**n} THEN ({low}) + 1 ELSE ({low}) END AS {name}e"
+
+
+def _placed_sql(name, n, comma=False):
+    digits = f"lpad({name}d::VARCHAR, {n}, '0')"
+    whole = f"left({digits} || repeat('0', greatest({name}e - {n - 1}, 0)::INT), {name}e::INT + 1)"
+    whole = f"format('{{:,}}', ({whole})::BIGINT)" if comma else whole
+    return f"CASE WHEN {name}e < 0 THEN '0.' || repeat('0', (-{name}e - 1)::INT) || {digits} WHEN {name}e >= {n - 1} THEN {whole} ELSE {whole} || '.' || substr({digits}, {name}e::INT + 2) END"
+
+
+_POWER = lambda name, n: f"left(lpad({name}d::VARCHAR, {n}, '0'), 1) || '.' || substr(lpad({name}d::VARCHAR, {n}, '0'), 2) || 'e' || CASE WHEN {name}e < 0 THEN '-' ELSE '+' END || abs({name}e)"
+_MINUS = "CASE WHEN x < 0 THEN '-' ELSE '' END"
+NUM_FORMAT_TYPES = f"""WITH t AS (SELECT c_custkey, (floor(c_acctbal) - 5000)::HUGEINT * CASE c_custkey % 3 WHEN 0 THEN 8000 WHEN 1 THEN 8 ELSE 1 END AS x FROM customer),
+u AS (SELECT c_custkey, x, {_eighths('abs(x)', 4, 'g')}, {_eighths('abs(x)', 2, 'r')}, {_eighths('abs(x) * 100', 2, 'p')}, {_eighths('abs(x)', 12, 'c')}, {_eighths('abs(x)', 6, 'n')} FROM t)
+SELECT c_custkey, {_MINUS} || CASE WHEN ge >= 4 THEN {_POWER('g', 4)} ELSE {_placed_sql('g', 4)} END AS general, {_MINUS} || {_placed_sql('r', 2)} AS rounded, {_MINUS} || {_placed_sql('p', 2)} || '%' AS share, {_MINUS} || {_POWER('g', 4)} AS power,
+{_MINUS} || regexp_replace(regexp_replace({_placed_sql('c', 12)}, '([.][0-9]*?)0+$', '\\1'), '[.]$', '') AS plain, {_MINUS} || CASE WHEN ne >= 6 THEN {_POWER('n', 6)} ELSE {_placed_sql('n', 6, True)} END AS number FROM u"""
+
+
+def num_format_prefix(spark, d):
+    x = F.floor("o_totalprice") * 10 + 3
+    return load(spark, d, "orders").select("o_orderkey", numfmt.format_prefix(x, ",.1", 3).alias("thousands"), numfmt.format_prefix(x, ".3f", 7).alias("millions"), numfmt.format_number(F.floor("o_totalprice") - 250_000, "012,d").alias("filled"))
+
+
+NUM_FORMAT_PREFIX = """WITH t AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT * 10 + 3 AS x, floor(o_totalprice)::BIGINT - 250000 AS y FROM orders)
+SELECT o_orderkey, format('{:,}', (x + 50) // 1000) || '.' || ((x + 50) // 100) % 10 || 'k' AS thousands, printf('%.3f', ((x + 500) // 1000) / 1000) || 'M' AS millions,
+CASE WHEN y < 0 THEN '-0' ELSE '' END || CASE WHEN y < 0 THEN substr(format('{:,}', 1000000000000 - y), 6) ELSE '0' || substr(format('{:,}', 1000000000000 + y), 6) END AS filled FROM t"""
+
+
 QUERIES = {
     "date_parse_roundtrip": (date_parse_roundtrip, DATE_PARSE),
     "rfc822_dates": (rfc822_dates, "SELECT event_id, strftime(ts, '%a, %d %b %Y %H:%M:%S') || ' +0000' AS rfc FROM events"),
@@ -311,5 +345,6 @@ QUERIES = {
     "orthographic_points": (orthographic_points, ORTHO),
     "num_format": (num_format, NUM_FORMAT),
     "num_format_si": (num_format_si, NUM_FORMAT_SI),
-    "num_format_types": (num_format_types, None),
+    "num_format_types": (num_format_types, NUM_FORMAT_TYPES),
+    "num_format_prefix": (num_format_prefix, NUM_FORMAT_PREFIX),
 }

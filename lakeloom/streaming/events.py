@@ -42,3 +42,51 @@ def gated(left: DataFrame, right: DataFrame, key: str, ts: str, wait: str = "1 h
     a = left.withWatermark(ts, wait).alias("a")
     b = right.withWatermark(ts, wait).withColumnRenamed(key, "_key").withColumnRenamed(ts, "_ts").alias("b")
     return a.join(b, F.expr(f"{key} = _key and _ts between {ts} - interval {wait} and {ts} + interval {wait}")).drop("_key")
+
+
+def changes(events: DataFrame, key: str, ts: str, tie: str, value: str) -> DataFrame:
+    """(key, tie) of events whose value's digest differs from the key's event before, and the first ones.
+
+    State is one digest a key. Within a micro-batch events are taken in the order of ts and tie;
+    later batches are later.
+    """
+
+    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
+        last = state.get[0] if state.exists else None
+        out = []
+        for digest, at in pd.concat(list(frames)).sort_values(["_t", tie])[["_d", tie]].itertuples(index=False):
+            if digest != last:
+                out.append(at)
+                last = digest
+        if last is not None:
+            state.update((last,))
+        yield pd.DataFrame({key: [name[0]] * len(out), tie: out})
+
+    kinds = dict(events.dtypes)
+    rows = events.select(key, tie, F.unix_micros(ts).alias("_t"), F.md5(F.coalesce(F.col(value).cast("string"), F.lit(""))).alias("_d"))
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {tie} {kinds[tie]}", "last string", "append", GroupStateTimeout.NoTimeout)
+
+
+def one_shot(events: DataFrame, keys: list[str], ts: str, order: str, late: str = "1 hour") -> DataFrame:
+    """(keys, first_at): one row for each registration, its least `order` among the events of the batch it comes with.
+
+    State is a mark for each registration. It goes, and a registration may fire again, only when the
+    watermark has passed its last event by `late` once more.
+    """
+    wait = int(pd.Timedelta(late).total_seconds() * 1000)
+
+    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames))
+        fresh = not state.exists
+        state.update((True,))
+        state.setTimeoutTimestamp(max(int(rows["_t"].max()), state.getCurrentWatermarkMs()) + wait + 1)
+        if fresh:
+            yield pd.DataFrame({**{f"k{i}": [v] for i, v in enumerate(name)}, "first_at": [rows[order].min()]})
+
+    kinds = dict(events.dtypes)
+    rows = events.withWatermark(ts, late).select(*keys, ts, order, F.unix_millis(ts).alias("_t"))
+    held = rows.groupBy(*keys).applyInPandasWithState(step, ", ".join([*(f"k{i} {kinds[k]}" for i, k in enumerate(keys)), f"first_at {kinds[order]}"]), "seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return held.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), "first_at")

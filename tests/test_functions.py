@@ -79,7 +79,7 @@ def test_ticks_and_scales(spark):
     assert one(spark, scales.range_seq(x(0), x(0), x(1)), scales.bisect_left(F.array().cast("array<double>"), x(1))) == ([], 0)
 
 
-@pytest.mark.parametrize(("spec", "x", "shown"), [(",", 1234567.0, "1,234,567"), (".2f", 1.005, "1.00"), (".1f", 0.25, "0.3"), ("$,.2f", -1234.5, "-$1,234.50"), (".0%", 0.256, "26%"), (".3s", 42e6, "42.0M"), (".2~s", 1500.0, "1.5k"), ("(d", -3.0, "(3)"), ("08d", -42.0, "-0000042"), (".1f", -0.01, "0.0"), ("f", float("nan"), "NaN"), (".0f", 2.5, "3"), ("x", 255.0, "ff"), ("*^9d", 5.0, "****5****"), (".3e", 1234.5678, "1.235e+3"), ("e", 0.0, "0.000000e+0"), (".3g", 1234.5678, "1.23e+3"), (".3g", 0.00012345, "0.000123"), (".2g", 1e-7, "1.0e-7"), (".3r", 1234.5678, "1230"), (".1r", 0.049, "0.05"), (".2p", 12.345678, "1200%"), ("", 1234.5678, "1234.5678"), ("", 3e15, "3e+15"), ("n", 1234567.0, "1.23457e+6"), (".9n", 1234567.5, "1,234,567.50"), ("c", 1234.5678, "1234.5678"), (".12~g", 1234.5678, "1234.5678"), (".3s", 1e-26, "0.0100y"), (".2r", 99.9, "100"), (",.2f", 123.456, "123.46"), ("$,.1f", -0.01, "$0.0")])
+@pytest.mark.parametrize(("spec", "x", "shown"), [(",", 1234567.0, "1,234,567"), (".2f", 1.005, "1.00"), (".1f", 0.25, "0.3"), ("$,.2f", -1234.5, "-$1,234.50"), (".0%", 0.256, "26%"), (".3s", 42e6, "42.0M"), (".2~s", 1500.0, "1.5k"), ("(d", -3.0, "(3)"), ("08d", -42.0, "-0000042"), (".1f", -0.01, "0.0"), ("f", float("nan"), "NaN"), (".0f", 2.5, "3"), ("x", 255.0, "ff"), ("*^9d", 5.0, "****5****"), (".3e", 1234.5678, "1.235e+3"), ("e", 0.0, "0.000000e+0"), (".3g", 1234.5678, "1.23e+3"), (".3g", 0.00012345, "0.000123"), (".2g", 1e-7, "1.0e-7"), (".3r", 1234.5678, "1230"), (".1r", 0.049, "0.05"), (".2p", 12.345678, "1200%"), ("", 1234.5678, "1234.5678"), ("", 3e15, "3e+15"), ("n", 1234567.0, "1.23457e+6"), (".9n", 1234567.5, "1,234,567.50"), ("c", 1234.5678, "1234.5678"), (".12~g", 1234.5678, "1234.5678"), (".3s", 1e-26, "0.01y"), (".2r", 99.9, "100"), (",.2f", 123.456, "123.46"), ("$,.1f", -0.01, "$0.0")])
 def test_number_formats(spark, spec, x, shown):
     assert one(spark, numfmt.format_number(F.lit(x), spec))[0] == shown
 
@@ -102,6 +102,33 @@ def test_lookup_sections_and_order(spark):
     assert positional.global_ordinal(points.limit(0), "x").count() == 0
 
 
+def test_positions_of_ties_spread_over_ranges(spark):
+    same = spark.range(4000).select(F.col("id"), F.lit("2024-01-01").cast("date").alias("day"), (F.col("id") * 7919 % 4000).alias("tie"))
+    got = positional.global_ordinal(same, "day", F.col("tie"), ranges=8)
+    assert got.filter("ordinal <> tie").count() == 0
+    alike = positional.global_ordinal(same.select("day"), "day", ranges=8)
+    assert sorted(r.ordinal for r in alike.collect()) == list(range(4000))
+    path = [f for f in alike.inputFiles() if f.endswith(".parquet")]
+    assert len(path) >= 6 and max(spark.read.parquet(f).count() for f in path) < 1500
+
+
+def test_zipped_tables(spark):
+    a = spark.createDataFrame([(3, "c"), (1, "a"), (None, "n"), (2, "b")], "o int, v string")
+    b = spark.createDataFrame([(20, "y"), (10, "x")], "o int, v string")
+    assert [tuple(r) for r in datajoin.zipped(a, b, ["o"], "v").orderBy("pos").collect()] == [(0, "n", "x", "update"), (1, "a", "y", "update"), (2, "b", None, "exit"), (3, "c", None, "exit")]
+    assert {r.side for r in datajoin.zipped(a.limit(0), b, ["o"], "v").collect()} == {"enter"}
+
+
+def test_keyed_join_keeps_equal_rows_and_null_places(spark):
+    nodes = spark.createDataFrame([(1, 1, "a", "x"), (1, 1, "a", "x"), (1, None, "b", "y"), (None, 4, "c", "z"), (1, 5, "d", None), (1, 5, "d", None), (1, 5, "d", None)], "g int, pos int, k string, v string")
+    data = spark.createDataFrame([(1, 1, "a", "p"), (1, 2, "b", "q"), (None, 3, "c", "r"), (2, 4, "c", "s"), (2, 4, "c", "s")], "g int, pos int, k string, v string")
+    got = sorted(((r.g or 0, r.key, r.side, r.node_value or "", r.data_value or "") for r in datajoin.keyed(nodes, data, "k", "pos", "v", "g").collect()), key=str)
+    assert got == sorted([(1, "a", "update", "x", "p"), (1, "a", "exit", "x", ""), (1, "b", "update", "y", "q"), (0, "c", "update", "z", "r"), (1, "d", "exit", "", ""), (1, "d", "exit", "", ""), (1, "d", "exit", "", ""), (2, "c", "enter", "", "s"), (2, "c", "enter", "", "s")], key=str)
+    many = spark.range(25_000).select(F.lit(1).alias("pos"), F.lit("a").alias("k"), F.lit("x").alias("v"))
+    sides = datajoin.keyed(many, many.limit(3), "k", "pos", "v").groupBy("side").count()
+    assert {r.side: r["count"] for r in sides.collect()} == {"update": 1, "exit": 24_999, "enter": 2}
+
+
 def test_groups_cells_and_configuration(spark):
     rows = spark.createDataFrame([("a", True), ("a", False), ("b", False)], "g string, v boolean")
     groups = spark.createDataFrame([("a",), ("b",), ("empty",)], "g string")
@@ -113,10 +140,10 @@ def test_groups_cells_and_configuration(spark):
 
 def test_bibtex(spark):
     text_ = '% c\n@article{k1, title = {A {B {C}} d}, year=2001, year = "2002", month = jan,}\n@comment{no}\n@string{x = "y"}\n@Book{k2,title={T}}'
-    out = bibliography.tags(bibliography.entries(spark.createDataFrame([(1, text_), (2, None)], "id int, t string"), "id", "t"), "id").collect()
+    out = bibliography.entries(spark.createDataFrame([(1, text_), (2, None)], "id int, t string"), "id", "t").collect()
     assert [(r.entry_type, r.citation_key, r.tags.get("year")) for r in sorted(out, key=lambda r: r.ord)] == [("article", "k1", "2002"), ("book", "k2", None)]
     deep = "@a{k, t = " + "{" * 40 + "x" + "}" * 40 + ', q = "a {b} c", u = v}@b{open, t = {x'
-    (row,) = bibliography.tags(bibliography.entries(spark.createDataFrame([(1, deep)], "id int, t string"), "id", "t"), "id").collect()
+    (row,) = bibliography.entries(spark.createDataFrame([(1, deep)], "id int, t string"), "id", "t").collect()
     assert row.tags == {"t": "{" * 39 + "x" + "}" * 39, "q": "a {b} c", "u": "v"}
 
 
