@@ -149,8 +149,15 @@ def _plain_of(x: str, d: str) -> str:
 
 
 def _plain(x: str) -> str:
-    """The shortest text of a non-negative finite number: without an exponent from 1e-6 up to 1e21."""
-    return f"if({x} < 1e15D and {x} = floor({x}), string(floor({x})), {let_text(_exact(x), lambda d: _plain_of(x, d))})"
+    """The shortest text of a non-negative finite number: without an exponent from 1e-6 up to 1e21.
+
+    No two numbers of 15 digits are the same double, so one that gives x back is the shortest.
+    """
+    shown = lambda t: f"if({t}.power >= 21 or {t}.power < -6, {_exponential(t)}, {_placed(t)})"
+    bare = lambda t: let_text(_read(t), lambda d: _pair(f"regexp_replace({d}.digits, '(?<=.)0+$', '')", f"{d}.power"))
+    slow = let_text(_exact(x), lambda d: _plain_of(x, d))
+    other = let_text(f"format_string('%.14e', {x})", lambda t: f"if({x} >= {_NORMAL} and double({t}) = {x}, {let_text(bare(t), shown)}, {slow})")
+    return f"if({x} < 1e15D and {x} = floor({x}), string(floor({x})), {other})"
 
 
 def _fixed(x: str, digits: int) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -69,11 +70,25 @@ def transliterate(c: Column) -> Column:
     return F.translate(c, *accent_map())
 
 
+#: The signs that mark authors.
+_MARKS = "*†‡§¶‖&^"
+
+
 def strip_fields(bibtex: Column, *keywords: str) -> Column:
-    """Removes the lines that set one of the fields."""
-    names = F.array(*(F.lit(k) for k in keywords))
-    kept = F.filter(F.split(bibtex, "\n", -1), lambda line: ~(F.contains(line, F.lit("{")) & F.array_contains(names, F.trim(F.substring_index(line, "=", 1))) & F.contains(line, F.lit("="))))
-    return F.array_join(kept, "\n")
+    """Removes the lines that set one of the fields in braces, and the marks of authors from the lines that set them.
+
+    A name counts wherever it stands as a word before ` = {`; a last line without an end stays as it is.
+    """
+    names = "|".join(map(re.escape, keywords))
+    kept = F.regexp_replace(bibtex, rf"(?dm)^.*\b(?:{names})\b *= *\{{.*\n", "") if keywords else bibtex
+    lines = F.split(kept, "\n", -1)
+    is_author = lambda line, i: line.rlike(r"\bauthor\b *= *\{") & (i < F.size(lines) - 1)
+    return F.array_join(F.transform(lines, lambda line, i: F.when(is_author(line, i), F.translate(line, _MARKS, "")).otherwise(line)), "\n")
+
+
+def busted(url: Column, content: Column) -> Column:
+    """A URL that changes with its content."""
+    return F.concat(url, F.lit("?"), F.md5(content))
 
 
 def cited_by(description: Column, fallback: Column) -> Column:

@@ -144,7 +144,7 @@ def math_candidates(spark, d):
 
 
 def keyed_store(spark, d):
-    """A store that holds one key for each element: what comes under a second key is refused, removals empty it."""
+    """Stores without removals: each element keeps its first key, sets of other keys are refused (with removals: keyed_log)."""
     e = load(spark, d, "events").select((F.col("user_id") % 40).alias("element"), "event_id", F.col("event_type").alias("key"), "value")
     first = e.groupBy("element").agg(F.min_by("key", "event_id").alias("held"))
     return e.join(first, "element").groupBy("element", "held").agg(F.max_by(F.when(F.col("key") == F.col("held"), F.col("event_id")), F.when(F.col("key") == F.col("held"), F.col("event_id"))).alias("last"), F.count_if(F.col("key") != F.col("held")).alias("refused"))

@@ -213,13 +213,17 @@ ARRAY_MIX = f"SELECT l_orderkey, l_linenumber, {_six_sql('l_quantity * 0.5 + l_d
 
 
 def curve_samples(spark, d):
-    year = F.lit(1950.0) + F.col("id") * 0.5
-    rows = spark.range(0, 161).select("id", year.alias("x"))
-    y = scales.gauss(F.col("x"), 1990, 8) + scales.logistic(F.col("x"), 2010, 3)
-    return rows.select(F.col("id").alias("i"), _six(y).alias("y"), F.format_string("%.1f", F.floor((F.col("x") - 1950) * 12.5 * 10 + 0.5) / 10).alias("px"))
+    """Curves of each part, sampled in fixed steps from its size on: a bell, a rise and spikes, as a line's points."""
+    start = F.col("p_size").cast("double")
+    x = F.explode(scales.range_seq(start, start + 10, F.lit(0.5)))
+    rows = load(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("price"), x.alias("x"))
+    y = scales.gauss(F.col("x"), 25, 8) * F.col("price") + scales.logistic(F.col("x"), 30, 3) + scales.spikes(F.col("x"), [5.0, 12.5, 40.0], 2.0, 0.75)
+    return rows.select("p_partkey", _six(F.col("x")).alias("x"), _six(y).alias("y"), F.format_string("%.1f", scales.js_round((F.col("x") - 1) * 12.5 * 10).cast("double") / 10).alias("px"))
 
 
-CURVE = f"SELECT i, {_six_sql('exp(-0.5 * pow((x - 1990) / 8, 2)) + 1 / (1 + exp(-(x - 2010) / 3))')} AS y, printf('%.1f', floor((x - 1950) * 12.5::DOUBLE * 10 + 0.5) / 10) AS px FROM (SELECT range AS i, 1950::DOUBLE + range * 0.5::DOUBLE AS x FROM range(161))"
+CURVE = f"""WITH s AS (SELECT p_partkey, p_retailprice AS price, p_size + unnest(range(20)) * 0.5::DOUBLE AS x FROM part)
+SELECT p_partkey, {_six_sql('x')} AS x, {_six_sql('price * exp(-0.5 * pow((x - 25) / 8, 2)) + 1 / (1 + exp(-(x - 30) / 3)) + 2 * exp(-0.5 * pow((x - 5) / 0.75, 2)) + 2 * exp(-0.5 * pow((x - 12.5) / 0.75, 2)) + 2 * exp(-0.5 * pow((x - 40) / 0.75, 2))')} AS y,
+printf('%.1f', floor((x - 1) * 12.5::DOUBLE * 10 + 0.5) / 10) AS px FROM s"""
 
 
 def orthographic_points(spark, d):

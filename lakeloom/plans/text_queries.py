@@ -197,11 +197,12 @@ CASE WHEN o_orderkey % 4 = 0 THEN 'Untitled' ELSE 'ng' || year(o_orderdate) || l
 
 
 def strip_bibtex_fields(spark, d):
-    bib = F.concat(F.lit("@a{k,\n  title = {T"), F.col("n_name"), F.lit("},\n  abbr = {X},\n  note = {y}\n}"))
-    return load(spark, d, "nation").select("n_nationkey", text.strip_fields(bib, "abbr", "note").alias("bibtex"))
+    """Records without two of their fields, and without the marks in author lines; each third line is only like one of them."""
+    lines = F.concat(F.lit("@a{k,\n  title = {T & "), F.col("p_name"), F.lit("},\n  abbr = {"), F.col("p_brand"), F.lit("},\n  author = {"), F.col("p_type"), F.lit("*, B^† & C},\n  keynote = {&"), F.col("p_size").cast("string"), F.lit("},\n  note= {y}\n  xauthor = {Z*}\n}"))
+    return load(spark, d, "part").select("p_partkey", text.strip_fields(lines, "abbr", "note").alias("bibtex"))
 
 
-STRIP_BIB = "SELECT n_nationkey, '@a{k,' || chr(10) || '  title = {T' || n_name || '},' || chr(10) || '}' AS bibtex FROM nation"
+STRIP_BIB = """SELECT p_partkey, '@a{k,' || chr(10) || '  title = {T & ' || p_name || '},' || chr(10) || '  author = {' || p_type || ', B  C},' || chr(10) || '  keynote = {&' || p_size || '},' || chr(10) || '  xauthor = {Z*}' || chr(10) || '}' AS bibtex FROM part"""
 
 
 def tex_normalized(spark, d):
