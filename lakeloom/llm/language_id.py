@@ -1,12 +1,14 @@
 """Language identification by averaged hashed subword embeddings (see `_subword`).
 
-The model learns from at most `sample` documents of each language (by a hash of the id) whose
-crc32(doc_id) mod 3 is not 1, and only from their text and lang. A prediction below the rejection
+The model learns from at most `sample` ids of each language (by a hash of the id) whose
+crc32(doc_id) mod 3 is not 1, and only from their text and lang; texts of more than LONGEST
+characters are not learned from, so the sample's bytes are bounded. A prediction below the rejection
 level, the score under which held-back training texts were right less often than `precision`, is
 marked by accepted = false; its lang_pred stays the likeliest language.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0, not accepted; rows
-with a null lang are not learned from; with one language only, that is predicted; with none, all
+with a null lang are not learned from; an id that several rows share counts once, with the least
+of their languages and texts; with one language only, that is predicted; with none, all
 are `und`; a null doc_id is predicted and not held out; repeated rows stay; an empty table
 returns no rows. Other columns are ignored.
 """
@@ -19,25 +21,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._subword import SubwordModel, unseen
-from .quality_classifier import held_out
+from .quality_classifier import LONGEST, held_out, texts_of
 
 SAMPLE = 800
 PRECISION = 0.98
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[SubwordModel | None, float]:
-    """A model from at most `sample` texts of each language that are not held out, and its rejection level."""
-    usable = docs.filter("lang is not null and text is not null and doc_id is not null").filter(~held_out(F.col("doc_id"), 3, 1))
-    usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    # about 2 * sample + 200 rows of each language go on, those of the smallest hashes, so that the ranking task of a language stays small
-    sizes = usable.groupBy("lang").count().withColumn("part", F.least(F.lit(1.0), (2 * sample + 200) / F.col("count")))  # one row for each language
+    """A model from at most `sample` ids of each language that are not held out, and its rejection level."""
+    usable = docs.filter("lang is not null and text is not null and doc_id is not null").filter(~held_out(F.col("doc_id"), 3, 1)).filter(F.length("text") <= LONGEST)
+    ids = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("lang").cast("string")).alias("lang"))
+    # about 2 * sample + 200 ids of each language go on, those of the smallest hashes, so that the ranking task of a language stays small; a language of fewer ids keeps all
+    sizes = ids.groupBy("lang").count().withColumn("part", F.least(F.lit(1.0), (2 * sample + 200) / F.col("count")))  # one row for each language
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
-    few = usable.join(F.broadcast(sizes), "lang").filter(place <= F.col("part")).select("doc_id", "lang", place.alias("place"))
+    few = ids.join(F.broadcast(sizes), "lang").filter(place <= F.col("part")).select("doc_id", "lang", place.alias("place"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
     chosen = few.withColumn("rank", rank).filter(F.col("rank") <= sample).select("doc_id", "lang")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    rows = texts.join(F.broadcast(chosen), "doc_id").collect()  # `sample` ids for each language
-    rows.sort(key=lambda r: (r.doc_id * 2654435761 % 2**32, r.doc_id, r.lang, r.text))
+    rows = texts_of(docs.filter("text is not null"), chosen, "lang")  # `sample` ids for each language
+    rows.sort(key=lambda r: (r.doc_id * 2654435761 % 2**32, r.doc_id))
     if not rows:
         return None, 1.0
     model = SubwordModel.fit([r.text for r in rows], [r.lang for r in rows], epochs=4)

@@ -1,10 +1,12 @@
 """Quality classification of documents by supervised subword embeddings (see `_subword`).
 
-The model learns from a bounded sample of labelled documents (`sample` rows, by a hash of the
-id) whose crc32(doc_id) mod 4 is not 2, and only from their text; scores use the whole text.
+The model learns from a bounded sample of labelled documents (`sample` ids, by a hash of the
+id) whose crc32(doc_id) mod 4 is not 2, and only from their text; scores use the whole text. Texts
+of more than `LONGEST` characters are scored but not learned from, so the sample's bytes are bounded.
 
 Defined cases: a null or empty text has no feature and gets the prior's score; labels that are
-null are not learned; a document labelled twice counts twice; without any labels every score is
+null are not learned; an id that is labelled more than once counts once, with its highest label,
+and one that several documents share counts once, with the least of their texts; without any labels every score is
 1 (nothing is rejected); a null doc_id is scored and not held out; rows that repeat stay; an
 empty table returns no rows. Other columns are ignored.
 """
@@ -13,12 +15,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ._subword import SubwordModel
 
 SAMPLE = 3000
+#: Characters of a text that is learned from, at most; with the sample it bounds what the driver gets.
+LONGEST = 50_000
 THRESHOLD = 0.7
 
 
@@ -27,16 +31,22 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % mod == rest, F.lit(False))
 
 
+def texts_of(docs: DataFrame, chosen: DataFrame, label: str) -> list[Row]:
+    """(doc_id, label, text) of chosen ids (distinct, a bounded number): of each the least text of at most LONGEST characters."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter(F.length("text") <= LONGEST)
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", label).agg(F.min("text").alias("text")).collect()
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> SubwordModel | None:
-    """A model of `quality` from at most `sample` labelled documents that are not held out."""
+    """A model of `quality` from at most `sample` labelled ids that are not held out."""
     usable = labels.filter("quality is not null and doc_id is not null").filter(~held_out(F.col("doc_id"), 4, 2))
-    chosen = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").collect()  # `sample` ids, bounded
-    rows.sort(key=lambda r: (r.doc_id * 2654435761 % 2**32, r.doc_id, r.quality, r.text or ""))
+    chosen = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("quality"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = texts_of(docs, chosen, "quality")
+    rows.sort(key=lambda r: (r.doc_id * 2654435761 % 2**32, r.doc_id))
     if len({r.quality for r in rows}) < 2:
         return None
-    return SubwordModel.fit([r.text or "" for r in rows], [r.quality for r in rows])
+    return SubwordModel.fit([r.text for r in rows], [r.quality for r in rows])
 
 
 def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:

@@ -103,3 +103,24 @@ def test_features_of_a_text_by_hand():
     assert [own[i] == own[j] for i in range(4) for j in range(i)] == [words[i] == words[j] for i in range(4) for j in range(i)]
     two = list(U.families(np.frombuffer(b + b, np.uint8), np.array([0, len(b), 2 * len(b)])))
     assert all((np.diff(bounds) == np.diff(bounds)[0]).all() for _, bounds in two)
+
+
+def test_repeated_rows_do_not_multiply_in_training(spark, monkeypatch):
+    from lakeloom.llm import language_id, quality_classifier
+    from lakeloom.llm._subword import SubwordModel
+
+    fitted = []
+    monkeypatch.setattr(SubwordModel, "fit", classmethod(lambda cls, texts, labels, **_: fitted.append((texts, labels))))
+    monkeypatch.setattr(language_id, "rejection_level", lambda *_: 0.0)
+    for one in (0, 1, 3, 4, 7):  # ids of any hash; one that is held out gives nothing
+        rows = [(one, f"text {i % 3}", "en") for i in range(2000)] + [(100 + i, "ein Text", "de") for i in range(9)] + [(200, "x" * 60_000, "fr"), (9, None, "it")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        language_id.train(docs)
+        texts, langs = fitted.pop()
+        held = zlib.crc32(str(one).encode()) % 3 == 1
+        assert (texts.count("text 0"), langs.count("en"), langs.count("fr"), langs.count("it")) == ((0 if held else 1), (0 if held else 1), 0, 0) and langs.count("de") > 3
+    labels = spark.createDataFrame([(0, 1)] * 500 + [(0, 0)] * 500 + [(100, 0), (103, 0), (200, 0), (None, 1), (1, None)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(0, f"text {i % 3}") for i in range(2000)] + [(100, "ein Text"), (103, None), (200, "x" * 60_000)], "doc_id long, text string")
+    quality_classifier.train(docs, labels)
+    learned = [(i, t, q) for i, t, q in ((0, "text 0", 1), (100, "ein Text", 0), (103, "", 0)) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len({q for *_, q in learned}) == 2 and sorted(zip(*fitted.pop(), strict=True)) == sorted((t, q) for _, t, q in learned)

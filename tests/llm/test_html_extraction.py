@@ -88,3 +88,49 @@ def test_layouts():
         got = main_text("<html><head><title>T</title></head><body><nav><a href=x>n</a></nav>" + layout.replace("{body}", LONG * 6).replace("{long}", LONG) + "<footer>f</footer></body></html>").split("\n")
         first, last = edges.get(name, (["Title"], []))
         assert got == [*first, *[re.sub("<[^>]+>", "", LONG).strip()] * 6, *last], name
+
+
+P = "<p>Words of the article that run on for a while, as text does, and end here.</p>"
+WORD = re.sub("<[^>]+>", "", P)
+
+
+def test_structure_decides_which_words_count():
+    comment = "<p>" + "A reader's opinion at great length about nothing at all. " * 9 + "</p>"
+    assert main_text(f"<body><div class=post><h1>Title</h1>{P}</div><div id=comments>{comment * 9}</div></body>") == f"Title\n{WORD}"
+    assert main_text(f"<body><article><h1>Title</h1>{P}<div id=comments>{comment * 9}</div></article></body>") == f"Title\n{WORD}"
+    assert main_text(f"<body><article>{P}</article><section id=responses>{comment * 9}</section></body>") == WORD
+    assert main_text(f"<body><form id=aspnetForm><div class=menu><a href=x>m</a></div><h1>Title</h1>{P * 3}<input></form></body>") == "\n".join(["Title", *[WORD] * 3])
+    assert main_text(f"<body><form><h2>Title</h2>{P * 3}<input></form></body>") == "\n".join(["Title", *[WORD] * 3])
+    assert main_text(f"<article>{P}<form><h3>Sign in</h3><p>Name</p><input><input></form></article>") == WORD
+    assert main_text(f"<article><div class='content notice-board'>{P * 4}</div><p>End</p></article>") == "\n".join([*[WORD] * 4, "End"])
+    assert main_text(f"<article>{P}<div class='social-history'>{P}</div><div class='social-share'>{P}</div>{P}</article>") == "\n".join([WORD] * 3)
+    assert main_text(f"<article><div class='widget'>{P * 4}</div><p>End</p></article>") == "\n".join([*[WORD] * 4, "End"])
+    assert main_text(f"<body><div class='promo'>{P * 2}</div></body>") == "\n".join([WORD] * 2)  # nothing else is there
+    assert main_text(f"<body><div class='comments'>{P * 2}</div></body>") == ""
+
+
+def test_region_climbs_and_keeps_neighbours():
+    assert main_text(f"<div id=page><h1>Title</h1><div class=entry>{P * 6}</div></div>") == "\n".join(["Title", *[WORD] * 6])
+    assert main_text(f"<div><h1>Title</h1><p>Lead</p><div>{P * 6}</div><p>Closing</p></div><ul><li><a href=x>l</a></ul>").split("\n") == ["Title", "Lead", *[WORD] * 6, "Closing"]
+    assert main_text(f"<main><article>{P * 6}</article><article><h2>Next</h2><p>Short.</p></article></main>").split("\n") == [*[WORD] * 6, "Next", "Short."]
+    assert main_text(f"<div><article>{P * 6}</article><article><p>Short.</p></article><ul><li><a href=x>l</a></ul></div>").split("\n") == [*[WORD] * 6, "Short."]
+
+
+TEMPLATES = {
+    "blog": "<body class='single'><div id='page' class='site'><header id='masthead'><h1 class='site-title'>Site</h1></header><div id='content'><div id='primary'><main id='main'><article id='post-1'><header class='entry-header'><h1>{title}</h1></header><div class='entry-content'>{body}</div><footer class='entry-footer'>Posted in x</footer></article>"
+    "<div id='comments' class='comments-area'><ol class='comment-list'><li class='comment'><article class='comment-body'><p>{other}</p></article></li></ol><div id='respond' class='comment-respond'><form><p>{other}</p></form></div></div></main></div><aside id='secondary' class='widget-area'><p>{other}</p></aside></div><footer id='colophon'>f</footer></div></body>",
+    "portal": "<body><form method=post id=form1><div id=header><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></div><table><tr><td class=leftNav><a href=c>Three</a></td><td id=contentCell><h1>{title}</h1>{body}</td><td class=sidebar><p>{other}</p></td></tr></table><div id=footer>f</div><input type=hidden></form></body>",
+    "plain": "<body><div class='nav-bar'><a href=a>One</a> | <a href=b>Two</a></div><h1>{title}</h1>{body}<div class='advert'><p>{other}</p></div><div class='page-footer'>f</div></body>",
+}
+
+
+def test_templates(spark):
+    rows, want = [], {}
+    for i, (name, page) in enumerate(TEMPLATES.items()):
+        for j, n in enumerate((1, 2, 7, 40)):
+            body = "".join(f"<p>Paragraph {k} &amp; its words, {'long ' * (k % 5 * 7)}told.</p>" if k % 6 else "<h2>Part</h2><ul><li>point</ul>" for k in range(1, n + 1))
+            rows.append((i * 10 + j, name, page.replace("{title}", f"Title {j}").replace("{body}", body).replace("{other}", "Other words that are long enough for a block. " * 12), 1))
+            lines = [x for k in range(1, n + 1) for x in ([" ".join(f"Paragraph {k} & its words, {'long ' * (k % 5 * 7)}told.".split())] if k % 6 else ["Part", "point"])]
+            want[i * 10 + j] = "\n".join([f"Title {j}", *lines])
+    got = {r.page_id: (r.text, r.n_chars) for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()}
+    assert got == {k: (t, len(t)) for k, t in want.items()}
