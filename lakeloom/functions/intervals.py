@@ -68,6 +68,11 @@ class Interval:
         low = self.floor(ts)
         return F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(reach - 1)), lambda i: self.offset(low, -i)), test), F.lit(0))
 
+    def ceil_where(self, ts: Column, test, reach: int) -> Column:
+        """The first of the `reach` boundaries at or after ts that passes the test; null if none does."""
+        high = self.ceil(ts)
+        return F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(reach - 1)), lambda i: self.offset(high, i)), test), F.lit(0))
+
     def every(self, ts: Column, k: int) -> Column:
         """The boundary at or before ts whose field is a multiple of k (days restart each month)."""
         ts = ts.cast("timestamp")

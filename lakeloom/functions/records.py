@@ -74,3 +74,13 @@ def type_checks(rules: dict[str, str]) -> Column:
     """Of each named column (name, kind, ok): its type's name, null for a missing value, and whether that matches the rule's pattern."""
     kind = lambda n: F.when(F.col(n).isNull(), F.lit("null")).otherwise(F.typeof(F.col(n)))
     return F.array(*(F.struct(F.lit(n).alias("name"), kind(n).alias("kind"), kind(n).rlike(p).alias("ok")) for n, p in rules.items()))
+
+
+def required(name: str, rules: dict[str, str]) -> Column:
+    """True where each named column's type matches its rule, a pattern over type names; the query fails with what is wrong where one does not."""
+    ok = F.lit(True)
+    for column, pattern in rules.items():
+        kind = F.when(F.col(column).isNull(), F.lit("null")).otherwise(F.typeof(F.col(column)))
+        wrong = F.raise_error(F.concat(F.lit(f"{name}: option {column} is "), kind, F.lit(f", expected {pattern}"))).cast("boolean")
+        ok = F.when(kind.rlike(f"^(?:{pattern})$"), ok).otherwise(wrong)
+    return ok

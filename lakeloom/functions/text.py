@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import let
+
 
 def falsy_to_null(c: Column) -> Column:
     """Empty text counts as missing."""
@@ -125,6 +127,11 @@ def author_string(names: Column, separator: str = ", ", final: str = " and ") ->
     return F.when(n > 1, F.concat(F.array_join(F.slice(shown, F.lit(1), n - 1), separator), F.lit(final), F.element_at(shown, -1))).otherwise(F.get(shown, F.lit(0)))
 
 
+def full_names(names: Column) -> Column:
+    """ "Last, First" of each name, joined by " and "; a name of one word stands alone."""
+    return F.array_join(F.transform(names, lambda n: let(author_parts(n), lambda p: F.concat_ws(", ", p["last"], F.nullif(F.trim(p["first"]), F.lit(""))))), " and ")
+
+
 def initials(first: Column) -> Column:
     """ "Ann Beth" as "A.B."."""
     return F.array_join(F.transform(F.filter(F.split(first, " +"), lambda w: w != ""), lambda w: F.concat(F.substring(w, 1, 1), F.lit("."))), "")

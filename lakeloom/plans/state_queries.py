@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import dates, scales, text
+from ..functions import dates, records, scales, text
+from ..functions.intervals import Interval
 from ..operators import datajoin, events, positional, stores
 from ..sources.tables import load
 
@@ -114,7 +115,36 @@ def busted_urls(spark, d):
     return load(spark, d, "pages").select("page_id", text.busted(F.col("url"), F.col("html")).alias("url"))
 
 
+def next_fridays(spark, d):
+    """The first Friday at or after each order, and the last one at or before it."""
+    friday = lambda t: F.dayofweek(t) == 6
+    day, t = Interval("day"), F.col("o_orderdate")
+    return load(spark, d, "orders").select("o_orderkey", F.date_format(day.ceil_where(t, friday, 8), "yyyy-MM-dd").alias("next"), F.date_format(day.floor_where(t, friday, 7), "yyyy-MM-dd").alias("last"))
+
+
+NEXT_FRIDAYS = """WITH t AS (SELECT o_orderkey, date_trunc('day', o_orderdate) AS low, date_trunc('day', o_orderdate + INTERVAL 1 DAY - INTERVAL 1 MILLISECOND) AS high FROM orders)
+SELECT o_orderkey, strftime(high + to_days(((12 - dayofweek(high)) % 7)::INT), '%Y-%m-%d') AS next, strftime(low - to_days(((dayofweek(low) + 2) % 7)::INT), '%Y-%m-%d') AS last FROM t"""
+
+
+def full_names(spark, d):
+    """Names in both forms, turned to the last name first and joined."""
+    names = F.array(F.concat("p_name", F.lit(" "), "p_brand"), F.concat("p_brand", F.lit(", "), "p_type"), F.split("p_type", " ")[0])
+    return load(spark, d, "part").select("p_partkey", text.full_names(names).alias("names"))
+
+
+FULL_NAMES = """SELECT p_partkey, array_to_string(list_transform([p_name || ' ' || p_brand, p_brand || ', ' || p_type, string_split(p_type, ' ')[1]], lambda n: CASE WHEN contains(n, ',') THEN n WHEN contains(n, ' ') THEN regexp_extract(n, '([^ ]+)$', 1) || ', ' || regexp_extract(n, '^(.*) [^ ]+$', 1) ELSE n END), ' and ') AS names FROM part"""
+
+
+def required_types(spark, d):
+    """Events whose columns have the types that they must have; any other would end the query."""
+    held = records.required("events", {"event_id": "bigint", "value": "double|null", "props": "string", "ts": "timestamp.*"})
+    return load(spark, d, "events").filter(held).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
+    "next_fridays": (next_fridays, NEXT_FRIDAYS),
+    "full_names": (full_names, FULL_NAMES),
+    "required_types": (required_types, "SELECT event_type, count(*) AS n FROM events GROUP BY 1"),
     "debounce_changed": (debounce_changed, DEBOUNCE_CHANGED),
     "keyed_log": (keyed_log, KEYED_LOG),
     "data_join_whole": (data_join_whole, DATA_JOIN_WHOLE),

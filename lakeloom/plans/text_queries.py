@@ -38,6 +38,22 @@ FEED_ITEMS = f"""SELECT page_id, row_number() OVER (ORDER BY pub_date DESC, link
   strftime(pub_date, '%a, %d %b %Y %H:%M:%S') || ' +0000</pubDate><description></description></item>' AS xml FROM {_POSTS_SQL}"""
 
 
+def feed_fallbacks(spark, d):
+    """Pages with more and less in their heads: each branch of title, description, link, image and date is reached."""
+    n, kind = F.col("page_id").cast("string"), F.col("page_id") % 5
+    own = F.concat(F.lit('<meta property="og:title" content="OG &amp; '), n, F.lit('"><meta content="D '), n, F.lit('" property="og:description"><link rel="canonical" href="https://c/'), n, F.lit('"><meta property="og:image" content="i'), n, F.lit('.png">'))
+    other = F.concat(F.lit("<meta name='description' content='N "), n, F.lit("'><meta property=\"og:url\" content=\"https://o/"), n, F.lit("\"><meta property='og:title' content=''>"))
+    html = F.concat(F.when(kind == 0, own).when(kind == 1, other).when(kind == 2, F.concat(F.lit("<p>Created in May, "), (F.col("page_id") % 20 + 2000).cast("string"), F.lit("</p>"))).otherwise(""), F.col("html"))
+    pages = load(spark, d, "pages").select("page_id", "url", html.alias("html"))
+    found = feed.items(feed.posts(pages, "page_id", "html", F.col("url"), F.lit("2025-01-01").cast("timestamp")))
+    return found.select("page_id", "title", "description", "link", F.date_format("pub_date", "yyyy-MM-dd").alias("day"), F.regexp_extract("xml", "<enclosure[^>]*>", 0).alias("enclosure"))
+
+
+FEED_FALLBACKS = f"""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'OG & ' || page_id ELSE {_unescaped(f"trim({_TITLE})")} END AS title, CASE page_id % 5 WHEN 0 THEN 'D ' || page_id WHEN 1 THEN 'N ' || page_id ELSE '' END AS description,
+CASE page_id % 5 WHEN 0 THEN 'https://c/' || page_id WHEN 1 THEN 'https://o/' || page_id ELSE url END AS link, CASE WHEN page_id % 5 = 2 THEN (page_id % 20 + 2000) || '-05-01' ELSE '2025-01-01' END AS day,
+CASE WHEN page_id % 5 = 0 THEN '<enclosure url="i' || page_id || '.png"/>' ELSE '' END AS enclosure FROM pages WHERE page_id % 5 = 0 OR trim({_TITLE}) <> ''"""
+
+
 def feed_last_build(spark, d):
     return feed.last_build(_posts(spark, d), "2000-01-01")
 
@@ -260,6 +276,7 @@ PAGE_TEXT = r"SELECT page_id, length(trim(regexp_replace(regexp_replace(html, '(
 
 QUERIES = {
     "feed_items": (feed_items, FEED_ITEMS),
+    "feed_fallbacks": (feed_fallbacks, FEED_FALLBACKS),
     "feed_last_build": (feed_last_build, FEED_LAST_BUILD),
     "feed_stale_rows": (feed_stale_rows, FEED_STALE),
     "doc_search": (doc_search, "SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'tion the')"),
