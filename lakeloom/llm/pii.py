@@ -55,7 +55,35 @@ card {card:5500_0000_0000_0004} expired
 visa {card:4012/8888/8888/1881} on file
 Card number {card:3782 822463 10005} was used
 amex {card:3714-496353-98431} ending
+{phone:03 20 11 45 87}
+zentrale {phone:0228 456123} und {phone:04 91 33 72 10} aussi
+Rufen Sie {phone:0511 334455} an
+the desk has {phone:05 61 22 90 14} for that.
+Numéro: {phone:02 40 35 17 66} ou {phone:06 12 34 56 78}
+mail {email:kim_r [at] office [dot] de} now
+{email:desk4 (at) verein (dot) de}
+for that {email:desk4(at)verein(dot)de} helps
+tell {email:jo_k at verein dot org} today
+schreib an {email:pia.k at blatt dot de} bitte
+ou {email:luc.b (at) mairie.fr} demain
+via {email:a_b2[at]mail.net} only
+und {email:lab3 at inst dot net} antwortet
+see {email:r.fox [at] paper.org} or {email:h_w (at) paper.com}
+{email:eva.m at blatt dot com} too
 Server {ip:10-0-12-7} is down
+node {ip:84-17-203-9} answers
+from {ip:203-0-113-45} and {ip:198-51-100-7} both
+zugriff von {ip:77-180-4-212} heute
+router {ip:10 . 20 . 30 . 40} off
+von {ip:172 . 31 . 7 . 99} aus
+{ip:203 . 0 . 113 . 18} and more
+dns {ip:2a02:8071:b5e:4c10:9c3d:1af0:77e2:d05b} set
+peer {ip:fd12:3456:789a:1bc:def0:12ab:cdef:345} lost
+{ip:9e0a:bb1:4c2d:e5f:1a2b:3c4d:77:8f9e} up
+via {ip:fe80::a00b:27ff:fe4e:66a1} now
+bei {ip:fe80::d6:1c2f:9b8a:42} gesehen
+amex {card:3714 496353 98431} or {card:3782.822463.10005} then
+mit {card:3787-344936-71000} bezahlt
 host {ip:192 . 168 . 1 . 10} answered
 address {ip:fe80::1ff:fe23:4567:890a} seen
 ip {ip:2001:db8:0:0:0:0:2:1} logged
@@ -87,6 +115,15 @@ id 9f86d081884c7d65 hash
 4041894974608795 was logged
 temperature -12.5 to +30.2 degrees
 ratio 3:4 and 16:9
+from 9:15:30 to 10:45:00 sharp
+rows 12 - 15 - 18 - 21 of it
+on 17-05-2024 and 2024-05-18
+on 3 . 4 . 2021 they met
+look at that and dot the i
+sit at home or work on 2 tasks
+x = 1 . 5 and y = 2
+code ab:cd and std::vector here
+look 10-20-30 times
 at [1] and (2) we see
 bonjour 14 juillet 1789
 am 3. Oktober 1990 um 12 Uhr
@@ -109,14 +146,28 @@ def shape(token: str) -> str:
     return token
 
 
+def word_shapes(tokens: list[str], gaps: list[bool]) -> list[str]:
+    """Of each token, what the word around it, between white space, is made of: digits, hexadecimal and other letters, and marks with their number."""
+    out: list[str] = []
+    ends = [i for i in range(1, len(tokens)) if gaps[i]]
+    for a, b in zip([0, *ends], [*ends, len(tokens)], strict=True):
+        word = tokens[a:b]
+        letters = "".join(t for t in word if t.isalpha()).lower()
+        marks = [t for t in word if not t.isalnum()]
+        kinds = ("d" if any(t.isdigit() for t in word) else "") + ("l" if letters.strip("abcdef") else "h" if letters else "")
+        out += [f"{kinds}{''.join(sorted(set(marks))[:4])}{min(len(marks), 4)}"] * (b - a)
+    return out
+
+
 def token_features(tokens: list[str], gaps: list[bool]) -> list[list[str]]:
     """Feature names of each token; gaps: whether white space stands before it."""
+    words = word_shapes(tokens, gaps)
     shapes = ["<", "<", *map(shape, tokens), ">", ">"]
     out = []
     for i, t in enumerate(tokens):
         s = shapes[i : i + 5]
         low = t.lower()
-        f = ["1", f"s{s[2]}", f"p{s[1]}", f"n{s[3]}", f"ps{s[1]}|{s[2]}", f"sn{s[2]}|{s[3]}", f"pp{s[0]}|{s[1]}|{s[2]}", f"nn{s[2]}|{s[3]}|{s[4]}", f"psn{s[1]}|{s[2]}|{s[3]}", f"g{gaps[i]}|{s[2]}"]
+        f = ["1", f"s{s[2]}", f"p{s[1]}", f"n{s[3]}", f"ps{s[1]}|{s[2]}", f"sn{s[2]}|{s[3]}", f"pp{s[0]}|{s[1]}|{s[2]}", f"nn{s[2]}|{s[3]}|{s[4]}", f"psn{s[1]}|{s[2]}|{s[3]}", f"g{gaps[i]}|{s[2]}", f"v{words[i]}", f"vg{gaps[i]}|{words[i]}"]
         if low in NAMED:
             f.append(f"w{low}")
         for back in (1, 2, 3):
