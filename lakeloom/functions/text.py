@@ -150,11 +150,14 @@ def citation_slug(last_name: Column, year: Column, title: Column) -> Column:
     return F.when(last_name.isNull(), F.lit("Untitled")).otherwise(slug)
 
 
+#: Accent commands, and letters that stand for themselves.
+_ACCENT = r"\{\\[\"^`.'acu~Hvs] ?([a-zA-Z])\}"
+_LETTER = r"\{\\([a-zA-Z])\}"
+
+
 def normalize_tex(c: Column) -> Column:
-    """White space to single spaces, accent commands to their letter, braces away."""
-    c = F.regexp_replace(c, r"[\t\n ]+", " ")
-    c = F.regexp_replace(c, r"\\[`^'\"~=][{]?([A-Za-z])[}]?", "$1")
-    return F.regexp_replace(c, r"[{}]", "")
+    """White space to single spaces, and accented and special letters in braces to the letter; other braces stay."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[\t\n ]+", " "), _ACCENT, "$1"), _LETTER, "$1")
 
 
 def occurrences(rows: DataFrame, key: str, text: Column, term: Column) -> DataFrame:

@@ -75,13 +75,24 @@ def bind_order(result: DataFrame, group: str, order: str = "data_order") -> Data
     return result.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)
 
 
+def _places(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """(group, pos, value): rows numbered from 0 within their group, without a task for each group.
+
+    All rows are numbered by group and order in ranges; a group's first number is taken off.
+    """
+    rows = global_ordinal(df.select(group, order, value), group, F.col(order), name="_at")
+    first = rows.groupBy(F.col(group).alias("_g")).agg(F.min("_at").alias("_first"))
+    return rows.join(first, F.col(group).eqNullSafe(F.col("_g"))).select(group, (F.col("_at") - F.col("_first")).alias("pos"), value)
+
+
 def positional(nodes: DataFrame, data: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """Joins row by row in order within each group."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    n = nodes.select(group, place.alias("pos"), F.col(value).alias("node_value"), F.lit(True).alias("_n"))
-    d = data.select(group, place.alias("pos"), F.col(value).alias("data_value"), F.lit(True).alias("_d"))
+    """Joins row by row in order within each group; a null group is one."""
+    n = _places(nodes, group, order, value).select(F.col(group).alias("_ng"), F.col("pos").alias("_np"), F.col(value).alias("node_value"), F.lit(True).alias("_n"))
+    d = _places(data, group, order, value).select(F.col(group).alias("_dg"), F.col("pos").alias("_dp"), F.col(value).alias("data_value"), F.lit(True).alias("_d"))
     side = F.when(F.col("_n") & F.col("_d"), "update").when(F.col("_d"), "enter").otherwise("exit")
-    return n.join(d, [group, "pos"], "full_outer").select(group, "pos", "node_value", "data_value", side.alias("side"))
+    either = lambda a, b: F.when(F.col("_n"), F.col(a)).otherwise(F.col(b))
+    both = n.join(d, F.col("_ng").eqNullSafe(F.col("_dg")) & (F.col("_np") == F.col("_dp")), "full_outer")
+    return both.select(either("_ng", "_dg").alias(group), either("_np", "_dp").alias("pos"), "node_value", "data_value", side.alias("side"))
 
 
 def zipped(nodes: DataFrame, data: DataFrame, order: list[str], value: str) -> DataFrame:

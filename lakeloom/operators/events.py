@@ -17,29 +17,32 @@ def debounce(events: DataFrame, key: str, ts: str, tie: str, gap: Column) -> Dat
 def throttle(events: DataFrame, key: str, ts: str, seconds: float) -> DataFrame:
     """(key, ts) of events that come later than `seconds` after the last one let through.
 
-    Each task reads its keys' times in order, a batch at a time, and carries the last key and
-    time over to the next batch, so a key may have any number of events.
+    An event later than that after the one just before passes whatever was let through; there a
+    key's events are cut and dealt out. Each task reads its runs of events in order, a batch at a
+    time, and carries the last run and time over to the next batch, so a run may have any length.
     """
     wait = int(seconds * 1e6)
     rows = events.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).filter("t is not null")
-    rows = rows.withColumn("_k", F.xxhash64(key)).repartition("_k").sortWithinPartitions("_k", key, "t").select(key, "t")
+    w = Window.partitionBy(key).orderBy("t")
+    cut = F.coalesce(F.col("t") - F.lag("t").over(w) > wait, F.lit(True))
+    rows = rows.withColumn("_cut", cut.cast("int")).withColumn("run", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_cut")
+    rows = rows.repartition(key, "run").sortWithinPartitions(key, "run", "t").select(key, "t", "run")
     kind = dict(rows.dtypes)[key]
 
     def run(batches):
-        name, last = None, None
+        place, last = None, None
         for batch in batches:
-            times = batch.column(1).to_numpy()
-            names = batch.column(0).to_pylist()
-            turns = [i for i in range(1, len(names)) if names[i] != names[i - 1]]
+            times, runs, names = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(0).to_pylist()
+            turns = [i for i in range(1, len(names)) if runs[i] != runs[i - 1] or names[i] != names[i - 1]]
             keep = []
             for a, b in zip([0, *turns], [*turns, len(names)], strict=True) if names else []:
-                if last is None or names[a] != name:
+                if place != (names[a], runs[a]):
                     keep.append(a)
-                    name, last = names[a], times[a]
+                    place, last = (names[a], runs[a]), times[a]
                 while (at := a + int(np.searchsorted(times[a:b], last + wait, side="right"))) < b:
                     keep.append(at)
                     last = times[at]
-            yield batch.take(pa.array(sorted(keep), pa.int64()))
+            yield batch.take(pa.array(sorted(keep), pa.int64())).select([0, 1])
 
     return rows.mapInArrow(run, f"`{key}` {kind}, t long").select(key, F.timestamp_micros("t").alias(ts))
 

@@ -71,11 +71,11 @@ MEDIA = ("image/bmp", "image/gif", "image/jpeg", "image/jpg", "image/png", "imag
 
 def safe_url(url: Column) -> Column:
     """Whether a URL is relative, has a safe scheme, or is base64 data of a listed media type."""
-    before = F.substring_index(url, ":", 1)  # a colon after a slash, question mark or hash is none of a scheme's
-    relative = ~F.contains(url, F.lit(":")) | (F.translate(before, "/?#", "") != before)
+    before = F.substring_index(url, ":", 1)
+    relative = F.regexp_extract(url, "[#&/:?]", 0).isin("", "#", "/", "?")  # what comes first of these tells
     kind, data = F.substring_index(url, ";base64,", 1), F.substring_index(url, ";base64,", -1)
     is_data = F.contains(url, F.lit(";base64,")) & F.lower(kind).isin(*(f"data:{m}" for m in MEDIA)) & (F.rtrim(F.translate(data, "+/", "00"), F.lit("=")).rlike("^[0-9A-Za-z]+$"))
-    return relative | F.lower(before).isin(*SCHEMES) | is_data
+    return relative | (F.contains(url, F.lit(":")) & F.lower(before).isin(*SCHEMES)) | is_data
 
 
 def allowed(attributes: DataFrame, allow: DataFrame, safe=safe_url) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import shared_folder
+from ..sources.tables import scratch_folder
 
 #: Rows of a range that a global order is dealt into, and ranges at most.
 ROWS = 200_000
@@ -37,7 +37,7 @@ def global_ordinal(df: DataFrame, lead: str, *ties: Column, name: str = "ordinal
     order = [F.col(lead), *ties]
     dealt = df.withColumn("_salt", F.rand(7)).repartitionByRange(n, *order, F.col("_salt")).sortWithinPartitions(*order).drop("_salt")
     number = F.monotonically_increasing_id()  # the range in the upper bits, the place in it in the lower 33
-    path = shared_folder(spark, "ordinals")
+    path = scratch_folder(spark, "ordinals")
     dealt.withColumns({"_part": F.shiftright(number, 33), "_place": number.bitwiseAND((1 << 33) - 1)}).write.parquet(path)
     held = spark.read.parquet(path)
     before = F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records, text
 from ..operators import datajoin, feed, positional
-from ..sources import tables
+from ..sources import external, tables, yaml_text
 from ..sources.tables import load
 from .join_queries import _SIDES, _two_sides
 from .text_queries import _POSTS_SQL, _posts
@@ -14,7 +14,7 @@ from .text_queries import _POSTS_SQL, _posts
 
 def feed_roundtrip(spark, d):
     """The feed is written over many files and read back as items."""
-    path = tables.shared_folder(spark, "feed")
+    path = tables.scratch_folder(spark, "feed")
     feed.render(feed.items(_posts(spark, d)), "All", path)
     return tables.rss_items(spark, path, "title string, link string, pubDate string").withColumnRenamed("pubDate", "pub_date")
 
@@ -24,16 +24,26 @@ FEED_ROUNDTRIP = f"SELECT title, link, strftime(pub_date, '%a, %d %b %Y %H:%M:%S
 
 def feed_file_lines(spark, d):
     """Whole feed files as texts: lines and items over all of them."""
-    path = tables.shared_folder(spark, "feed")
+    path = tables.scratch_folder(spark, "feed")
     feed.render(feed.items(_posts(spark, d)), "All", path)
     lines = F.filter(F.split("text", "\n"), lambda s: s != "")
     return tables.text_files(spark, f"{path}/part-*").agg(F.sum(F.size(lines)).cast("long").alias("lines"), F.sum(F.size(F.filter(lines, lambda s: s.startswith("<item>")))).cast("long").alias("items"))
 
 
+def json_lists(spark, d):
+    """Events written as documents of up to a thousand records each, and read back."""
+    path = tables.scratch_folder(spark, "json")
+    record = F.struct("event_id", F.struct("event_type", "props").alias("what"))
+    rows = load(spark, d, "events").groupBy(F.floor(F.col("event_id") / 1000).alias("part")).agg(F.to_json(F.collect_list(record)).alias("value"))
+    rows.write.partitionBy("part").text(path)
+    found = tables.json_documents(spark, path, "event_id long, what struct<event_type: string, props: string>")
+    return found.select("event_id", "what.event_type", F.get_json_object("what.props", "$.k").cast("long").alias("k"))
+
+
 def written_once(spark, d):
     """A target that is there already is left as it is."""
     rows = load(spark, d, "customer").select("c_custkey", "c_nationkey")
-    path = tables.shared_folder(spark, "once") + "/kept"
+    path = tables.scratch_folder(spark, "once") + "/kept"
     tables.write_once(rows.filter("c_nationkey % 2 = 0"), path)
     tables.write_once(rows, path)
     return spark.read.parquet(path)
@@ -55,6 +65,34 @@ UNION ALL SELECT n_nationkey, 'people', 1, 'url', '/a' || n_nationkey FROM natio
 UNION ALL SELECT n_nationkey, 'people', 2, 'url', '/b' || n_nationkey FROM nation"""
 
 
+def yaml_paths(spark, d):
+    """Lists in lists, named lists, scalars of all kinds and blocks, from the parts."""
+    n = F.col("p_partkey").cast("string")
+    lines = ["---", "lines_max: 2  # most", "users:", F.concat(F.lit("- u"), n), '- "v: x"', "", "cv:", "  - title: General", "    contents:", F.concat(F.lit("      - name: "), "p_name"), F.concat(F.lit("        value: #"), "p_brand"), "      - - a", F.concat(F.lit("        - 'b "), n, F.lit("'")), "  - title: Rest", "    tags: [x, 'y, z', 3]", "    note: >", F.concat(F.lit("      one "), n), "      two", "", "      three # no comment", "    text: |", "      l1", "       l2", "    long: goes", "      on", "last:", "  a:", "    b:", F.concat(F.lit("      c: http://x/"), n)]
+    body = F.concat_ws("\n", *(F.lit(x) if isinstance(x, str) else x for x in lines))
+    found = yaml_text.yaml_paths(load(spark, d, "part").select("p_partkey", body.alias("body")), "p_partkey", "body")
+    return found.select("p_partkey", F.col("place").cast("long").alias("place"), "path", "value")
+
+
+YAML_PATHS = """SELECT p_partkey, unnest(range(15)) AS place, unnest(['lines_max', 'users[0]', 'users[1]', 'cv[0].title', 'cv[0].contents[0].name', 'cv[0].contents[1][0]', 'cv[0].contents[1][1]', 'cv[1].title', 'cv[1].tags[0]', 'cv[1].tags[1]', 'cv[1].tags[2]', 'cv[1].note', 'cv[1].text', 'cv[1].long', 'last.a.b.c']) AS path,
+unnest(['2', 'u' || p_partkey, 'v: x', 'General', p_name, 'a', 'b ' || p_partkey, 'Rest', 'x', 'y, z', '3', 'one ' || p_partkey || ' two' || chr(10) || 'three # no comment', 'l1' || chr(10) || ' l2', 'goes on', 'http://x/' || p_partkey]) AS value FROM part"""
+
+
+def source_dispatch(spark, d):
+    """Posts of four sources: feeds that are read, posts that are listed, and one source of neither kind."""
+    path = tables.scratch_folder(spark, "feed")
+    feed.render(feed.items(_posts(spark, d)), "All", path)
+    pages = load(spark, d, "pages")
+    named = lambda name, title: pages.select(F.lit(name).alias("source"), title.alias("title"), F.col("url").alias("link"), F.lit("2025-01-01").alias("published"))
+    listed = named("list", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("t"), F.col("page_id").cast("string")))).unionByName(named("both", F.lit("x"))).unionByName(named("other", F.lit("y")))
+    sources = [external.Source("feed", path), external.Source("both", path, True), external.Source("list", None, True), external.Source("none")]
+    return external.posts(sources, listed)
+
+
+SOURCE_DISPATCH = f"""WITH p AS (SELECT title, link, strftime(pub_date, '%a, %d %b %Y %H:%M:%S') || ' +0000' AS published FROM {_POSTS_SQL})
+SELECT 'feed' AS source, title, link, published FROM p UNION ALL SELECT 'both', title, link, published FROM p UNION ALL SELECT 'list', CASE WHEN page_id % 2 = 0 THEN 't' || page_id ELSE url END, url, '2025-01-01' FROM pages"""
+
+
 def config_types(spark, d):
     """How many settings of each name have which type, and whether their rule allows it."""
     e = load(spark, d, "events").select(F.col("user_id").alias("offset"), F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("method"), F.when(F.col("event_id") % 4 > 0, F.col("value")).alias("delay"))
@@ -101,8 +139,11 @@ def doc_search_empty(spark, d):
 QUERIES = {
     "feed_roundtrip": (feed_roundtrip, FEED_ROUNDTRIP),
     "feed_file_lines": (feed_file_lines, f"SELECT count(*) + 2 AS lines, count(*) AS items FROM {_POSTS_SQL}"),
+    "json_lists": (json_lists, "SELECT event_id, event_type, (props::JSON->>'$.k')::BIGINT AS k FROM events"),
     "written_once": (written_once, "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey % 2 = 0"),
     "yaml_values": (yaml_values, YAML_VALUES),
+    "yaml_paths": (yaml_paths, YAML_PATHS),
+    "source_dispatch": (source_dispatch, SOURCE_DISPATCH),
     "config_types": (config_types, CONFIG_TYPES),
     "name_places": (name_places, NAME_PLACES),
     "bind_order": (bind_order, f"WITH {_SIDES} SELECT grp, pos AS data_order, row_number() OVER (PARTITION BY grp ORDER BY pos) - 1 AS place FROM d0"),

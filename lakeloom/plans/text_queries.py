@@ -222,8 +222,11 @@ STRIP_BIB = """SELECT p_partkey, '@a{k,' || chr(10) || '  title = {T & ' || p_na
 
 
 def tex_normalized(spark, d):
-    raw = F.concat(F.lit("{\\'e}t\\\"{u}de \n\t of {"), F.col("n_name"), F.lit("}"))
-    return load(spark, d, "nation").select("n_nationkey", text.normalize_tex(raw).alias("clean"))
+    """Names whose vowels are written as accent commands of several forms, and words in braces that stay."""
+    name = F.col("p_name")
+    for letter, written in (("a", "{\\\\'a}"), ("e", '{\\\\" e}'), ("o", "{\\\\o}"), ("u", "{\\\\v u}"), (" ", " \n\t ")):
+        name = F.regexp_replace(name, letter, written)
+    return load(spark, d, "part").select("p_partkey", text.normalize_tex(F.concat(name, F.lit(" of {"), F.col("p_brand"), F.lit("}"))).alias("clean"))
 
 
 def hash_terms(spark, d):
@@ -296,7 +299,7 @@ QUERIES = {
     "author_string": (author_string, AUTHORS),
     "citation_names": (citation_names, CITATION),
     "strip_bibtex_fields": (strip_bibtex_fields, STRIP_BIB),
-    "tex_normalized": (tex_normalized, "SELECT n_nationkey, 'etude of ' || n_name AS clean FROM nation"),
+    "tex_normalized": (tex_normalized, "SELECT p_partkey, p_name || ' of {' || p_brand || '}' AS clean FROM part"),
     "hash_terms": (hash_terms, HASH_TERMS),
     "data_keys": (data_keys, DATA_KEYS),
     "coerced_scalars": (coerced_scalars, COERCED),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -29,8 +30,8 @@ def share_code(spark: SparkSession) -> None:
 
 
 def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Multi-line JSON documents with a stated schema (no inference pass)."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """Multi-line JSON documents, each a record or a list of them, with a stated schema (no inference pass); one that cannot be read fails the query."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
 def text_files(spark: SparkSession, glob: str) -> DataFrame:
@@ -88,6 +89,28 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A shared folder for what a result reads until the program ends; `clear_scratch` removes it."""
+    path = shared_folder(spark, name)
+    _SCRATCH.append((spark, path))
+    return path
+
+
+def clear_scratch() -> None:
+    """Removes all scratch folders; results that still read from them are gone too. Runs at exit as well."""
+    while _SCRATCH:
+        spark, path = _SCRATCH.pop()
+        if spark.sparkContext._jsc is not None:  # else the session has been stopped
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+atexit.register(clear_scratch)
+
+
 def write_once(df: DataFrame, path: str) -> None:
     """Writes unless the target is there already."""
     df.write.mode("ignore").parquet(path)

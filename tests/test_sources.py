@@ -1,7 +1,9 @@
 """Sources and sinks on small files."""
 
 import json
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.operators import feed
@@ -61,3 +63,20 @@ D:
     listed = {(4, None, 1, "at"): "1", (4, None, 1, "by"): "x", (4, None, 2, "at"): "2"}
     assert got == {(1, *k): v for k, v in want.items()} | listed
     assert tables.yaml_records(rows.limit(0), "id", "body").count() == 0
+
+
+def test_scratch_folders_go(spark):
+    path = tables.scratch_folder(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    tables.clear_scratch()
+    assert not os.path.exists(path.removeprefix("file:"))
+
+
+def test_a_broken_json_document_fails(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"n": 1},\n {"n": 2}]')
+    (tmp_path / "b.json").write_text('{\n"n": 3}')
+    assert sorted(r.n for r in tables.json_documents(spark, str(tmp_path), "n long").collect()) == [1, 2, 3]
+    (tmp_path / "c.json").write_text('{"n": ')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tables.json_documents(spark, str(tmp_path), "n long").collect()

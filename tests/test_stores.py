@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import dates, records, scales, text
 from lakeloom.functions.intervals import Interval
-from lakeloom.operators import events, stores
+from lakeloom.operators import events, lookup, stores
+from lakeloom.sources import yaml_text
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -109,3 +110,16 @@ def test_filtered_intervals_go_both_ways(spark):
 
 def test_unused_clock(spark):
     assert spark.range(1).select(dates.time_format(F.lit("2024-02-03 04:05:06").cast("timestamp"), "%x|%X|%c")).first()[0] == "2/3/2024|4:05:06 AM|2/3/2024, 4:05:06 AM"
+
+
+@pytest.mark.parametrize(("url", "safe"), [("a&b", False), ("a/b&c", True), ("a?b:c", True), ("a", True), ("", True), ("http://x", True), ("http", True), ("HTTPS:", True), ("javascript:x", False), ("x:y", False), ("&", False), ("#&:", True), ("data:image/png;base64,aGk=", True), ("data:text/html;base64,aGk=", False)])
+def test_safe_urls(spark, url, safe):
+    assert spark.createDataFrame([(url,)], "u string").select(lookup.safe_url(F.col("u"))).first()[0] is safe
+
+
+@pytest.mark.parametrize(("body", "want"), [
+    ("a: 1\nb:\n  c: 'x # y' # z\n  d: \"q\"", [("a", "1"), ("b.c", "x # y"), ("b.d", "q")]), ("- 1\n- a: 2\n  b: 3\n-\n  c: 4", [("[0]", "1"), ("[1].a", "2"), ("[1].b", "3"), ("[2].c", "4")]), ("k:\n- x\n- y\nl: z", [("k[0]", "x"), ("k[1]", "y"), ("l", "z")]),
+    ("a:\n  - b:\n      - c: 1\n        d: 2\n      - c: 3\n    e: 4", [("a[0].b[0].c", "1"), ("a[0].b[0].d", "2"), ("a[0].b[1].c", "3"), ("a[0].e", "4")]), ("u: http://a:1/b", [("u", "http://a:1/b")]), ("", []), (None, []), ("# only\n\n", []), ("t: |-\n  a\n\n  b\nz: 1", [("t", "a\n\nb"), ("z", "1")]), ("l: []\nm: [a]", [("m[0]", "a")]),
+])
+def test_yaml_of_any_depth(body, want):
+    assert yaml_text.values(body) == want
