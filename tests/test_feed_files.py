@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lakeloom.operators import feed
-from lakeloom.sources import tables
+from lakeloom.sources import external, tables
 
 
 def _written(spark, path, n=40, files=5):
@@ -27,6 +27,14 @@ def test_items_of_all_files_are_read(spark, tmp_path):
     assert {(r.title, r.link) for r in tables.rss_items(spark, path).collect()} == want
 
 
+def test_posts_of_two_sources_of_one_feed(spark, tmp_path):
+    path = str(tmp_path / "feed")
+    want = _written(spark, path)
+    listed = spark.createDataFrame([], "source string, title string, link string, published string")
+    posts = external.posts([external.Source("a", path), external.Source("b", path)], listed).collect()
+    assert len(posts) == 2 * len(want) and {(r.title, r.link) for r in posts if r.source == "b"} == want
+
+
 def test_items_over_lines_beside_a_broken_one(spark, tmp_path):
     body = "<?xml version='1.0'?>\n<rss><channel><title>All</title>\n<item\n a='1'>\n <title> x\n y </title>\n <link>1</link></item><item><title>b</link></item>\n<item><link>2</link></item></channel></rss>\n"
     (tmp_path / "feed.xml").write_text(body)
