@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, numfmt, scales
 from ..functions.intervals import Interval
-from ..sources.tables import load
+from ..sources.tables import load, spread
 
 _TS = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
 
@@ -240,7 +240,7 @@ _SPECS = {"fixed": ".2f", "grouped": ",.1f", "money": "$,.2f", "parens": "(.0f",
 
 def num_format(spark, d):
     x = (F.floor("c_acctbal") - 5000) * 1.25
-    return load(spark, d, "customer").select("c_custkey", *(numfmt.format_number(x, s).alias(n) for n, s in _SPECS.items() if n not in ("hex", "binary", "octal")), *(numfmt.format_number(F.abs(x), s).alias(n) for n, s in _SPECS.items() if n in ("hex", "binary", "octal")))
+    return spread(load(spark, d, "customer").select("c_custkey", "c_acctbal")).select("c_custkey", *(numfmt.format_number(x, s).alias(n) for n, s in _SPECS.items() if n not in ("hex", "binary", "octal")), *(numfmt.format_number(F.abs(x), s).alias(n) for n, s in _SPECS.items() if n in ("hex", "binary", "octal")))
 
 
 def _fixed_sql(x, n):
@@ -268,7 +268,7 @@ rpad({_signed_sql('x', _fixed_sql('x', 2))} || {_fixed_sql('x', 2)}, 14, ' ') AS
 
 
 def num_format_si(spark, d):
-    return load(spark, d, "part").select("p_partkey", numfmt.format_number(F.pow(F.col("p_partkey").cast("double"), F.lit(3)) / 1000, ".3s").alias("si"), numfmt.format_number(F.lit(1.5) / (F.col("p_partkey") + 1), ".2~s").alias("small"))
+    return spread(load(spark, d, "part").select("p_partkey")).select("p_partkey", numfmt.format_number(F.pow(F.col("p_partkey").cast("double"), F.lit(3)) / 1000, ".3s").alias("si"), numfmt.format_number(F.lit(1.5) / (F.col("p_partkey") + 1), ".2~s").alias("small"))
 
 
 def _digits_sql(x, n):
@@ -289,7 +289,7 @@ _TYPES = {"general": ".4g", "rounded": ".2r", "share": ".2p", "power": ".3e", "p
 
 def num_format_types(spark, d):
     x = (F.floor("c_acctbal") - 5000) * F.when(F.col("c_custkey") % 3 == 0, 1000.0).when(F.col("c_custkey") % 3 == 1, 1.0).otherwise(0.125)
-    return load(spark, d, "customer").select("c_custkey", *(numfmt.format_number(x, s).alias(n) for n, s in _TYPES.items()))
+    return spread(load(spark, d, "customer").select("c_custkey", "c_acctbal")).select("c_custkey", *(numfmt.format_number(x, s).alias(n) for n, s in _TYPES.items()))
 
 
 def _eighths(x, n, name):
@@ -317,7 +317,7 @@ SELECT c_custkey, {_MINUS} || CASE WHEN ge >= 4 THEN {_POWER('g', 4)} ELSE {_pla
 
 def num_format_prefix(spark, d):
     x = F.floor("o_totalprice") * 10 + 3
-    return load(spark, d, "orders").select("o_orderkey", numfmt.format_prefix(x, ",.1", 3).alias("thousands"), numfmt.format_prefix(x, ".3f", 7).alias("millions"), numfmt.format_number(F.floor("o_totalprice") - 250_000, "012,d").alias("filled"))
+    return spread(load(spark, d, "orders").select("o_orderkey", "o_totalprice")).select("o_orderkey", numfmt.format_prefix(x, ",.1", 3).alias("thousands"), numfmt.format_prefix(x, ".3f", 7).alias("millions"), numfmt.format_number(F.floor("o_totalprice") - 250_000, "012,d").alias("filled"))
 
 
 NUM_FORMAT_PREFIX = """WITH t AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT * 10 + 3 AS x, floor(o_totalprice)::BIGINT - 250000 AS y FROM orders)

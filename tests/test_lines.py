@@ -30,3 +30,12 @@ def test_time_in_proportion_to_a_line(spark):
     t = time.time()
     (row,) = df.select(F.size(F.filter(positional.quoted(F.col("line"), F.col("line")), lambda q: q)).alias("flags"), positional.quoted_count(F.col("line")).alias("n")).collect()
     assert (row.flags, row.n) == (n, n) and time.time() - t < 30
+
+
+def test_costly_rows_of_a_small_file_are_dealt_out(spark):
+    """The table's file is one task however much work its rows are."""
+    from lakeloom.plans import catalogue
+
+    q = catalogue.queries()
+    for name in ("num_format", "num_format_si", "num_format_types", "num_format_prefix"):
+        assert "Repartition 4, true" in _operators(q[name](spark, "/root/testdata/sf0.001")), name
