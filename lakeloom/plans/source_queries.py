@@ -70,7 +70,8 @@ def yaml_paths(spark, d):
     n = F.col("p_partkey").cast("string")
     lines = ["---", "lines_max: 2  # most", "users:", F.concat(F.lit("- u"), n), '- "v: x"', "", "cv:", "  - title: General", "    contents:", F.concat(F.lit("      - name: "), "p_name"), F.concat(F.lit("        value: #"), "p_brand"), "      - - a", F.concat(F.lit("        - 'b "), n, F.lit("'")), "  - title: Rest", "    tags: [x, 'y, z', 3]", "    note: >", F.concat(F.lit("      one "), n), "      two", "", "      three # no comment", "    text: |", "      l1", "       l2", "    long: goes", "      on", "last:", "  a:", "    b:", F.concat(F.lit("      c: http://x/"), n)]
     body = F.concat_ws("\n", *(F.lit(x) if isinstance(x, str) else x for x in lines))
-    found = yaml_text.yaml_paths(load(spark, d, "part").select("p_partkey", body.alias("body")), "p_partkey", "body")
+    parts = tables.spread(load(spark, d, "part").select("p_partkey", "p_name", "p_brand"))
+    found = yaml_text.yaml_paths(parts.select("p_partkey", body.alias("body")), "p_partkey", "body")
     return found.select("p_partkey", F.col("place").cast("long").alias("place"), "path", "value")
 
 

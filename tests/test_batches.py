@@ -30,7 +30,7 @@ class _Rows:
         return self
 
 
-@pytest.mark.parametrize("step", ["elements", "tokens", "bibtex"])
+@pytest.mark.parametrize("step", ["elements", "tokens", "yaml", "bibtex"])
 def test_steps_make_objects_of_a_slice_at_a_time(spark, step):
     """Each made Python objects of all rows of a batch at once, up to ten thousand texts."""
     text, apply = {

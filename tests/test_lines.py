@@ -37,5 +37,5 @@ def test_costly_rows_of_a_small_file_are_dealt_out(spark):
     from lakeloom.plans import catalogue
 
     q = catalogue.queries()
-    for name in ("num_format", "num_format_si", "num_format_types", "num_format_prefix", "bibtex_entries"):
+    for name in ("num_format", "num_format_si", "num_format_types", "num_format_prefix", "bibtex_entries", "yaml_paths"):
         assert "Repartition 4, true" in _operators(q[name](spark, "/root/testdata/sf0.001")), name
