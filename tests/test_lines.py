@@ -32,6 +32,32 @@ def test_time_in_proportion_to_a_line(spark):
     assert (row.flags, row.n) == (n, n) and time.time() - t < 30
 
 
+def test_rings_and_glyphs_of_odd_lines(spark):
+    """Characters of several bytes, lines of other lengths, missing lines, lone letters and v."""
+    lines = {1: ["é😀z", "ab", "", "x" * 5], 2: ["v vv av a1b \tc"]}
+    df = spark.createDataFrame([(k, y, t) for k, ts in lines.items() for y, t in enumerate(ts) if t], "id long, y int, line string").repartition(1)
+    got = {(r.id, r.y): (r.ch, r.ring) for r in positional.around(df, "id").collect()}
+    assert set(got) == {(1, 0), (1, 1), (1, 3), (2, 0)}
+    for (k, y), (ch, ring) in got.items():
+        line = lines[k]
+        at = lambda i, x: line[i][x] if 0 <= i < len(line) and 0 <= x < len(line[i]) else " "  # noqa: B023, E731
+        assert ch == list(line[y])
+        assert ring == ["".join(at(y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy) for x in range(len(line[y]))]
+
+
+def _operators(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_meet_as_texts(spark, tmp_path):
+    """Arrays of all characters were dealt out for the neighbours."""
+    from lakeloom.plans import catalogue
+
+    q = catalogue.queries()
+    plan = _operators(q["neighbours"](spark, "/root/testdata/sf0.001"))
+    assert "filter(split" not in plan.split("Window", 1)[1]
+
+
 def test_costly_rows_of_a_small_file_are_dealt_out(spark):
     """The table's file is one task however much work its rows are."""
     from lakeloom.plans import catalogue
