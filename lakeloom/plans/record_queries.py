@@ -126,11 +126,9 @@ def grid_size(spark, d):
 
 def glyph_classes(spark, d):
     """Letters beside letters are text, lone ones glyphs; v is always a glyph."""
-    line = load(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).filter("line <> ''")
-    ch = line.select("doc_id", positional.characters(F.col("line")).alias("ch"))
-    is_letter = lambda i: F.coalesce(F.when(i >= 0, F.get("ch", i)), F.lit(" ")).rlike("^[a-zA-Z]$")
-    kinds = F.transform("ch", lambda c, x: F.when(c.rlike("^[a-uw-zA-Z]$") & (is_letter(x - 1) | is_letter(x + 1)), "text").when(c == " ", "space").otherwise("glyph"))
-    return ch.select("doc_id", F.explode(kinds).alias("kind")).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+    rows = load(spark, d, "documents").select("doc_id", positional.glyph_counts(F.col("text")).alias("n"))
+    kinds = rows.groupBy("doc_id").agg(*(F.sum(f"n.{k}").alias(k) for k in ("text", "space", "glyph")))
+    return kinds.unpivot("doc_id", ["text", "space", "glyph"], "kind", "n").filter("n > 0")
 
 
 GLYPHS = """WITH y AS (SELECT doc_id, y, unnest(range(len(lines))) AS no, unnest(lines) AS line FROM (SELECT doc_id, 0 AS y, string_split(text, chr(10)) AS lines FROM documents)),

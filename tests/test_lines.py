@@ -43,19 +43,23 @@ def test_rings_and_glyphs_of_odd_lines(spark):
         at = lambda i, x: line[i][x] if 0 <= i < len(line) and 0 <= x < len(line[i]) else " "  # noqa: B023, E731
         assert ch == list(line[y])
         assert ring == ["".join(at(y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy) for x in range(len(line[y]))]
+    texts = ["v vv av a1b \tc", "ab\nc\n\nvd é", "", None]
+    counts = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").repartition(1).select(positional.glyph_counts(F.col("t")).alias("n")).collect()
+    assert [tuple(r.n[k] for k in ("text", "space", "glyph")) for r in counts] == [(1, 4, 9), (3, 1, 3), (0, 0, 0), (None, None, None)]
 
 
 def _operators(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_lines_meet_as_texts(spark, tmp_path):
-    """Arrays of all characters were dealt out for the neighbours."""
+def test_lines_meet_as_texts_and_glyphs_are_not_exploded(spark, tmp_path):
+    """Arrays of all characters were dealt out for the neighbours, and a row was made of each character for the glyphs."""
     from lakeloom.plans import catalogue
 
     q = catalogue.queries()
     plan = _operators(q["neighbours"](spark, "/root/testdata/sf0.001"))
     assert "filter(split" not in plan.split("Window", 1)[1]
+    assert "explode" not in _operators(q["glyph_classes"](spark, "/root/testdata/sf0.001"))
 
 
 def test_costly_rows_of_a_small_file_are_dealt_out(spark):
