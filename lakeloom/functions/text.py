@@ -17,9 +17,13 @@ def falsy_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+#: The blanks of Unicode (category Zs).
+_BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 def first_match(text: Column, *patterns: str) -> Column:
-    """Group 1 of the first pattern that gives a non-empty, trimmed match; null without one."""
-    return F.coalesce(*(falsy_to_null(F.trim(F.regexp_extract(text, f"(?is){p}", 1))) for p in patterns))
+    """Group 1 of the first pattern that gives a non-empty match, without the blanks around it; null without one."""
+    return F.coalesce(*(falsy_to_null(F.btrim(F.regexp_extract(text, f"(?is){p}", 1), F.lit(_BLANKS))) for p in patterns))
 
 
 def tag_attributes(html: Column, tag: str) -> Column:

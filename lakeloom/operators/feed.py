@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,13 +25,30 @@ def posts(pages: DataFrame, key: str, html: str, url: Column, modified: Column)
     ).filter("title is not null")
 
 
-def items(found: DataFrame) -> DataFrame:
-    """Posts as ranked items, latest first, ties by link; rank starts at 1."""
+#: Line ends as references, which readers do not change.
+_LINE_ENDS = (("\r", "&#13;"), ("\n", "&#10;"))
+
+
+def items(found: DataFrame, whole: bool = False) -> DataFrame:
+    """Posts as ranked items, latest first, ties by link; rank starts at 1.
+
+    The xml of a post without link or date is null, and texts are escaped only. whole: each post
+    has an item, of one line, that reads back as the post: a missing link or date leaves its
+    element out, line ends are written as references, and a control character, which XML cannot
+    hold, becomes U+FFFD.
+    """
     order = found.withColumn("_late", -F.unix_micros("pub_date"))
     ranked = global_ordinal(order, "_late", F.col("link"), name="rank").withColumn("rank", F.col("rank") + 1).drop("_late")
-    line = lambda tag, c: F.concat(F.lit(f"<{tag}>"), text.escape(c), F.lit(f"</{tag}>"))
-    enclosure = F.when(F.col("image").isNotNull(), F.concat(F.lit('<enclosure url="'), text.escape(F.col("image")), F.lit('"/>'))).otherwise("")
-    xml = F.concat(F.lit("<item>"), line("title", F.col("title")), line("link", F.col("link")), line("pubDate", dates.rfc822(F.col("pub_date"))), line("description", F.col("description")), enclosure, F.lit("</item>"))
+
+    def written(c: Column) -> Column:
+        if not whole:
+            return text.escape(c)
+        return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), _LINE_ENDS, F.regexp_replace(text.escape(c), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "\ufffd"))
+
+    line = lambda tag, c: F.concat(F.lit(f"<{tag}>"), written(c), F.lit(f"</{tag}>"))
+    enclosure = F.when(F.col("image").isNotNull(), F.concat(F.lit('<enclosure url="'), written(F.col("image")), F.lit('"/>'))).otherwise("")
+    joined = (lambda *c: F.concat_ws("", *c)) if whole else F.concat  # the former passes nulls over
+    xml = joined(F.lit("<item>"), line("title", F.col("title")), line("link", F.col("link")), line("pubDate", dates.rfc822(F.col("pub_date"))), line("description", F.col("description")), enclosure, F.lit("</item>"))
     return ranked.withColumn("xml", xml)
 
 

@@ -15,8 +15,8 @@ from .text_queries import _POSTS_SQL, _posts
 def feed_roundtrip(spark, d):
     """The feed is written over many files and read back as items."""
     path = tables.scratch_folder(spark, "feed")
-    feed.render(feed.items(_posts(spark, d)), "All", path)
-    return tables.rss_items(spark, path, "title string, link string, pubDate string").withColumnRenamed("pubDate", "pub_date")
+    feed.render(feed.items(_posts(spark, d), whole=True), "All", path)
+    return tables.rss_items(spark, path, "title string, link string, pubDate string", trim=False).withColumnRenamed("pubDate", "pub_date")
 
 
 FEED_ROUNDTRIP = f"SELECT title, link, strftime(pub_date, '%a, %d %b %Y %H:%M:%S') || ' +0000' AS pub_date FROM {_POSTS_SQL}"
@@ -25,7 +25,7 @@ FEED_ROUNDTRIP = f"SELECT title, link, strftime(pub_date, '%a, %d %b %Y %H:%M:%S
 def feed_file_lines(spark, d):
     """Whole feed files as texts: lines and items over all of them."""
     path = tables.scratch_folder(spark, "feed")
-    feed.render(feed.items(_posts(spark, d)), "All", path)
+    feed.render(feed.items(_posts(spark, d), whole=True), "All", path)
     lines = F.filter(F.split("text", "\n"), lambda s: s != "")
     return tables.text_files(spark, f"{path}/part-*").agg(F.sum(F.size(lines)).cast("long").alias("lines"), F.sum(F.size(F.filter(lines, lambda s: s.startswith("<item>")))).cast("long").alias("items"))
 
@@ -82,11 +82,11 @@ unnest(['2', 'u' || p_partkey, 'v: x', 'General', p_name, 'a', 'b ' || p_partkey
 def source_dispatch(spark, d):
     """Posts of four sources: feeds that are read, posts that are listed, and one source of neither kind."""
     path = tables.scratch_folder(spark, "feed")
-    feed.render(feed.items(_posts(spark, d)), "All", path)
+    feed.render(feed.items(_posts(spark, d), whole=True), "All", path)
     pages = load(spark, d, "pages")
     named = lambda name, title: pages.select(F.lit(name).alias("source"), title.alias("title"), F.col("url").alias("link"), F.lit("2025-01-01").alias("published"))
     listed = named("list", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("t"), F.col("page_id").cast("string")))).unionByName(named("both", F.lit("x"))).unionByName(named("other", F.lit("y")))
-    sources = [external.Source("feed", path), external.Source("both", path, True), external.Source("list", None, True), external.Source("none")]
+    sources = [external.Source("feed", path, trim=False), external.Source("both", path, True, trim=False), external.Source("list", None, True), external.Source("none")]
     return external.posts(sources, listed)
 
 

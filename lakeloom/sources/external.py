@@ -14,11 +14,15 @@ from . import tables
 
 @dataclass(frozen=True)
 class Source:
-    """A named source: the path of a feed, or posts that a table lists under its name."""
+    """A named source: the path of a feed, or posts that a table lists under its name.
+
+    trim: white space around the values of the feed is layout.
+    """
 
     name: str
     feed: str | None = None
     listed: bool = False
+    trim: bool = True
 
 
 def posts(sources: Sequence[Source], listed: DataFrame) -> DataFrame:
@@ -30,9 +34,9 @@ def posts(sources: Sequence[Source], listed: DataFrame) -> DataFrame:
     spark = listed.sparkSession
     cols = ["source", "title", "link", "published"]
     out = []
-    for path in dict.fromkeys(s.feed for s in sources if s.feed):
-        names = [s.name for s in sources if s.feed == path]
-        items = tables.rss_items(spark, path, "title string, link string, pubDate string").withColumnRenamed("pubDate", "published")
+    for path, trim in dict.fromkeys((s.feed, s.trim) for s in sources if s.feed):
+        names = [s.name for s in sources if (s.feed, s.trim) == (path, trim)]
+        items = tables.rss_items(spark, path, "title string, link string, pubDate string", trim).withColumnRenamed("pubDate", "published")
         out.append(items.withColumn("source", F.explode(F.array(*map(F.lit, names)))).select(cols))
     names = [s.name for s in sources if s.listed and not s.feed]
     own = listed.filter(F.col("source").isin(*names)) if names else listed.limit(0)

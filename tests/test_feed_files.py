@@ -1,8 +1,11 @@
 """Feeds that are spread over files."""
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.operators import feed
+from lakeloom.plans.catalogue import CATALOGUE
 from lakeloom.sources import external, tables
 
 
@@ -40,3 +43,32 @@ def test_items_over_lines_beside_a_broken_one(spark, tmp_path):
     (tmp_path / "feed.xml").write_text(body)
     got = tables.rss_items(spark, str(tmp_path / "feed.xml"), "title string, link string").collect()
     assert sorted(r.link for r in got if r.link) == ["1", "2"] and len(got) == 3
+
+
+@pytest.mark.parametrize("name", ["source_dispatch", "feed_roundtrip", "feed_file_lines"])
+def test_odd_titles_and_links_against_sql(spark, tmp_path, name):
+    titles = ["\ttab\t", "\n two\nlines", "a\r\nb\rc", "\u00a0wide\u3000", "\u00a0", "null", "a &amp; &amp; ", "&lt;/item&gt;", "]]>"]
+    rows = [(i, f"https://x/{i}?a&b", f"<title>{t}</title>") for i, t in enumerate(titles)]
+    rows += [(20, None, "<title>no link</title>"), (None, "u", "<title>no date</title>"), (21, " u ", "<title>blanks</title>"), (22, "", "<title>empty</title>"), (23, "u", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    run, sql = CATALOGUE[name]
+    found = run(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    rel = con.sql(sql)
+    assert sorted(rel.columns) == sorted(found.columns)
+    assert sorted(map(str, map(tuple, found.select(rel.columns).collect()))) == sorted(map(str, rel.fetchall()))
+
+
+def test_a_control_character_costs_no_item(spark, tmp_path):
+    path = str(tmp_path / "feed")
+    found = spark.createDataFrame([(1, "a\x07b", "u1"), (2, "c", "u2")], "id long, title string, link string").withColumns({"description": F.lit(""), "image": F.lit(None).cast("string"), "pub_date": F.lit("2025-01-01").cast("timestamp")})
+    feed.render(feed.items(found, whole=True), "All", path)
+    got = tables.rss_items(spark, path, "title string, link string").collect()
+    assert sorted((r.title, r.link) for r in got) == [("a\ufffdb", "u1"), ("c", "u2")]
+
+
+def test_layout_of_a_feed_does_not_count(spark, tmp_path):
+    (tmp_path / "feed.xml").write_text("<rss><channel><item>\n <title>\n x\n </title>\n <link> 1 </link>\n</item></channel></rss>")
+    assert [tuple(r) for r in tables.rss_items(spark, str(tmp_path / "feed.xml"), "title string, link string").collect()] == [("x", "1")]
+    assert [tuple(r) for r in tables.rss_items(spark, str(tmp_path / "feed.xml"), "title string, link string", trim=False).collect()] == [("\n x\n ", " 1 ")]
