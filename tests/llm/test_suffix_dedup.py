@@ -48,3 +48,20 @@ def test_empty_null_and_repeated_rows(spark):
     text = "".join(chr(97 + i * i % 23) for i in range(900))
     got = suffix_dedup(spark.createDataFrame([(5, text), (5, text), (None, "ab")], schema)).collect()
     assert sorted((r.doc_id or -1, r.n_bytes - r.n_removed) for r in got) == [(-1, 2), (5, 0), (5, 0)]
+
+
+def test_passages_of_over_fifty_words_go_from_400_bytes_on(spark):
+    rng = random.Random(9)
+    prose = lambda k: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(k))
+    rows, size = [], {}
+    for p, n in enumerate((340, 394, 399, 400, 450)):
+        passage = prose(120)[:n]
+        assert len(passage.split()) > 50
+        for copy in range(4):
+            doc = 10 * p + copy
+            size[doc] = n
+            rows.append((doc, f"{prose(60)}{copy}{passage}{copy}{prose(60)}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(df).collect())
+    assert got == brute(rows, 400)
+    assert {doc: gone for doc, _, gone, _, _ in got} == {doc: n if n >= 400 else 0 for doc, n in size.items()}
