@@ -3,11 +3,13 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.operators import bibliography, elements, segments
 from lakeloom.operators.segments import Delimiter, Rule
+from lakeloom.plans.catalogue import CATALOGUE
 
 
 def parsed(spark, *texts):
@@ -111,6 +113,30 @@ def test_elements_against_walks(spark):
     assert df.filter(elements.has_class("y")).select("id", "pre").collect() == [(0, 4)] and df.filter(elements.attribute("id") == "d").count() == 1
 
 
+def test_handlers_of_all_pages_and_elements(spark, tmp_path):
+    html = "<html><body><nav><ul><li><a>1</a></li></ul></nav>{}</body></html>"
+    pages = [(3 * i - 30, html.format("<p>x</p>" * (i % 7 + 40 * (i % 50 == 0)))) for i in range(150)] + [(1000, ""), (1001, None)]
+    clicks = [(i - 100, i // 150 - 3) for i in range(150 * 60)] + [(None, 1), (9999, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(clicks, "event_id long, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    run, sql = CATALOGUE["delegated_handlers"]
+    got = run(spark, str(tmp_path)).select("user_id", "page_id", "handler", "event_id").collect()
+    assert {(r.page_id, r.handler) for r in got} == {(k, n) for k, h in pages[:150] for n in (4, 5, *range(6, 6 + h.count("<p>")))}
+    want = {}
+    for event, user in clicks[:-2]:
+        k, h = pages[event % 150]
+        at = user % (6 + h.count("<p>"))
+        if at > 3:
+            want[user, k, at] = min(event, want.get((user, k, at), event))
+    assert {tuple(r)[:3]: r.event_id for r in got} == want and len(got) == len(want)
+    con = duckdb.connect()
+    for name in ("pages", "events"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.sql(f"select user_id, page_id, handler, event_id from ({sql})").fetchall())
+    spark.createDataFrame([], "page_id long, html string").write.mode("overwrite").parquet(str(tmp_path / "pages.parquet"))
+    assert run(spark, str(tmp_path)).count() == 0
+
+
 def plain_cut(text, delimiters):
     parts = [("text", text, text, False)] if text else []
     for left, right, display in delimiters:
