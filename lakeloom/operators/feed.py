@@ -30,7 +30,7 @@ _LINE_ENDS = (("\r", "&#13;"), ("\n", "&#10;"))
 
 
 def items(found: DataFrame, whole: bool = False) -> DataFrame:
-    """Posts as ranked items, latest first, ties by link; rank starts at 1.
+    """Posts as ranked items, latest first, ties by link, then by the other columns as they stand; rank starts at 1.
 
     The xml of a post without link or date is null, and texts are escaped only. whole: each post
     has an item, of one line, that reads back as the post: a missing link or date leaves its
@@ -38,7 +38,8 @@ def items(found: DataFrame, whole: bool = False) -> DataFrame:
     hold, becomes U+FFFD.
     """
     order = found.withColumn("_late", -F.unix_micros("pub_date"))
-    ranked = global_ordinal(order, "_late", F.col("link"), name="rank").withColumn("rank", F.col("rank") + 1).drop("_late")
+    ties = [F.col("link"), *(F.col(c) for c in found.columns if c not in ("link", "pub_date"))]
+    ranked = global_ordinal(order, "_late", *ties, name="rank").withColumn("rank", F.col("rank") + 1).drop("_late")
 
     def written(c: Column) -> Column:
         if not whole:

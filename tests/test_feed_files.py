@@ -72,3 +72,15 @@ def test_layout_of_a_feed_does_not_count(spark, tmp_path):
     (tmp_path / "feed.xml").write_text("<rss><channel><item>\n <title>\n x\n </title>\n <link> 1 </link>\n</item></channel></rss>")
     assert [tuple(r) for r in tables.rss_items(spark, str(tmp_path / "feed.xml"), "title string, link string").collect()] == [("x", "1")]
     assert [tuple(r) for r in tables.rss_items(spark, str(tmp_path / "feed.xml"), "title string, link string", trim=False).collect()] == [("\n x\n ", " 1 ")]
+
+
+def test_posts_of_one_day_and_link_are_ranked_by_id(spark, tmp_path):
+    rows = [(17 * i, f"u{i % 3}", "<title>x</title>") for i in range(600)]  # all of one day
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7).write.parquet(str(tmp_path / "pages.parquet"))
+    run, sql = CATALOGUE["feed_items"]
+    got = {r.page_id: (r["rank"], r.xml) for r in run(spark, str(tmp_path)).collect()}
+    assert sorted(got, key=got.get) == [r[0] for r in sorted(rows, key=lambda r: (r[1], r[0]))]
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    closed = sql.replace("ORDER BY pub_date DESC, link)", "ORDER BY pub_date DESC, link, page_id)")  # the SQL leaves these ties open
+    assert closed != sql and got == {i: (rank, xml) for i, rank, xml in con.sql(f"select page_id, rank, xml from ({closed})").fetchall()}
